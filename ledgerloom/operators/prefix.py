@@ -40,17 +40,19 @@ def running_sums(ranged: DataFrame, group: Sequence[str], sums: Sequence[str]) -
     offset a partition: only the first group in a partition can have begun in an earlier one. A second pass adds up within partitions, so a
     group of any size is spread over all its partitions. Nulls in the summed columns count 0. Null groups are groups.
     """
-    pid = F.spark_partition_id()
-    per = ranged.groupBy(pid.alias("p"), *group).agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in sums]).withColumn("g", F.xxhash64(*[x for c in group for x in (F.col(c).isNull(), F.col(c))]))
-    # Of each partition its first and its last group, which is all that can cross a border: at most two rows a partition.
-    order = F.struct(*[F.struct(F.col(c).isNotNull(), F.col(c)) for c in group])
-    totals = F.struct("g", *sums)
+    keys, parts = [f"g{i}" for i in range(len(group))], [f"s{i}" for i in range(len(sums))]
+    picked = ranged.select(F.spark_partition_id().alias("p"), *[F.col(f"`{c}`").alias(k) for k, c in zip(keys, group)], *[F.col(f"`{c}`").alias(s) for s, c in zip(parts, sums)])
+    per = picked.groupBy("p", *keys).agg(*[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in parts])
+    # Of each partition its first and its last group, which is all that can cross a border: one row a partition.
+    order = F.struct(*[F.struct(F.col(k).isNotNull(), F.col(k)) for k in keys])
+    group_hash = F.xxhash64(*[x for k in keys for x in (F.col(k).isNull(), F.col(k))]).alias("g")
+    totals = F.struct(group_hash, *parts)
     ends = per.groupBy("p").agg(F.min_by(totals, order).alias("first"), F.max_by(totals, order).alias("last")).orderBy("p").collect()
     offsets: dict[int, list[int]] = {}
     carried, at = [0] * len(sums), None
     for e in ends:
         offsets[e["p"]] = carried if e["first"]["g"] == at else [0] * len(sums)
-        mine = [e["last"][s] for s in sums]
+        mine = [e["last"][s] for s in parts]
         carried = [c + m for c, m in zip(carried, mine)] if e["last"]["g"] == at and e["first"]["g"] == at else mine
         at = e["last"]["g"]
     names = [f"{s}_run" for s in sums]
