@@ -11,13 +11,14 @@ from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.packing import fill_containers
 from ledgerloom.llm.residue import residue
 from ledgerloom.llm.tokens import sized, token_count
+from ledgerloom.plans.joins import spread
 from ledgerloom.plans.scratch import written
 from ledgerloom.sources.tables import table
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, source, tokens, cluster): copies of a text, and a speech and its reissues, are one cluster."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "reissue_of", "text"))
     sizes = written(docs.select("doc_id", "source", "reissue_of", F.xxhash64("text").alias("text_hash"), token_count(F.col("text")).alias("tokens")), "tokens")
     earliest = sizes.groupBy("text_hash").agg(F.min("doc_id").alias("cluster"))
     copies = sizes.join(earliest, "text_hash")
@@ -38,12 +39,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which each mixture takes its documents."""
-    return mix(written(sized(table(spark, sf_dir, "documents")), "tokens"), table(spark, sf_dir, "mix_target"))[0]
+    return mix(written(sized(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))), "tokens"), table(spark, sf_dir, "mix_target"))[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source in each mixture."""
-    return mix(written(sized(table(spark, sf_dir, "documents")), "tokens"), table(spark, sf_dir, "mix_target"))[1]
+    return mix(written(sized(spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))), "tokens"), table(spark, sf_dir, "mix_target"))[1]
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:

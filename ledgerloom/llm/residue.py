@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import residue_data as R
 from ledgerloom.llm.neardup import simhash, spread_labels
 from ledgerloom.llm.wordless import MOST_FILLER, MOST_OTHERS, fit, scores
+from ledgerloom.plans.joins import spread
 from ledgerloom.plans.scratch import written
 
 #: Spans in quotation marks, within a line. An apostrophe between letters isn't one.
@@ -54,34 +55,50 @@ def normal(passage: Column) -> Column:
 
 
 def passages(documents: DataFrame) -> DataFrame:
-    """(doc_id, norm, code, slot, rep): every passage of every text. code: a bare error code. rep: words said over and over."""
+    """(doc_id, norm, code, slot, names): every passage of every text. code: a bare error code. names: mostly names."""
     # What no slot can do without, so that few lines are searched for all kinds of slots.
     mark = F.col("line").rlike(r"[{<%@|\[]|\$\D|__|\([^)]{0,40}(?:add|conf|compl|foll|folgt|tb|ins|erg|ein|nach|préc|rell|por c|plac|fill)|XX|NN|[Dd]{2}[./-]|TT|JJ|tt[./-]|jj[./-]|DAY|TAG|JOUR|DÍA|DIA|NAME|PRÉNOM|PRENOM|NOMBRE")
     lines = documents.filter("text IS NOT NULL AND text <> ''").select("doc_id", F.explode(F.split(clean(F.col("text")), r"\n+")).alias("line"))
     # Notes may hold sentence ends; slots may look like notes, so they are looked for first.
     parts = lines.withColumn("slot", mark & F.col("line").rlike(slot_pattern())).select("doc_id", "slot", F.explode(F.split(F.regexp_replace("line", _NOTE, " "), _ENDS)).alias("p"))
     norm = normal(F.col("p"))
-    words = F.split(F.col("norm"), " ")
-    said = (F.size(words) >= 4) & (F.size(F.array_distinct(words)) <= 2) | (F.size(words) == 3) & (F.size(F.array_distinct(words)) == 1) & (F.length("norm") > 12)
-    run = (F.size(words) - F.size(F.array_distinct(words)) >= 3) & F.col("norm").rlike(r"(?:\bx{2,}\b ){3,}|\b(\p{L}{3,8}) (?:\1 )*(\p{L}{3,8})(?: (?:\1|\2)\b){4,}")
     # Mostly words with a capital, but not all capitals: a list of names.
-    names = (F.regexp_count("p", F.lit(r"\b\p{Lu}\p{Ll}")) * 2 > F.size(words)) & (F.col("p") != F.upper("p"))
-    # A speaker who says a thing three times has it written with commas.
-    listed = F.col("p").contains(",")
-    flat = parts.select("doc_id", listed.alias("listed"), norm.alias("norm"), F.trim("p").rlike(f"^(?iu:{R.CODES})[.!]?$").alias("code"), "slot", names.alias("names"))
-    return flat.filter("norm <> '' OR slot OR code").withColumn("rep", F.col("norm").rlike("^x+( x+)*$") & (F.length("norm") > 6) | ~F.col("listed") & (said | run)).drop("listed")
+    names = (F.regexp_count("p", F.lit(r"\b\p{Lu}\p{Ll}")) * 2 > F.size(F.split(F.col("norm"), " "))) & (F.col("p") != F.upper("p"))
+    flat = parts.select("doc_id", norm.alias("norm"), F.trim("p").rlike(f"^(?iu:{R.CODES})[.!]?$").alias("code"), "slot", names.alias("names"))
+    return flat.filter("norm <> '' OR slot OR code")
 
 
-def foreign_share(norm: Column, common: frozenset[str]) -> Column:
-    """Share of a passage's words that aren't common; 0 for passages of fewer than four words."""
+def is_mashed(words: list[str], common: frozenset[str]) -> bool:
+    """Whether a run of at least five words, or the whole of at least three, is made of one or two words (of any number, if of x only) that aren't common."""
 
-    @F.pandas_udf("double")
-    def shares(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def ends(start: int) -> int:
+        held: set[str] = set()
+        for i in range(start, len(words)):
+            w = words[i]
+            if w in common or not 2 <= len(w) <= 8:
+                return i
+            held.add("x" if set(w) == {"x"} else w)
+            if len(held) > 2:
+                return i
+        return len(words)
+
+    if len(words) < 3 or len(words) - len(set(words)) < 2:
+        return False
+    if ends(0) == len(words):
+        return len(words) - len(set(words)) >= (2 if len(set(words)) == 1 or set("".join(words)) == {"x"} else 3)
+    return any(ends(i) - i >= 5 for i in range(len(words) - 4))
+
+
+def by_words(norm: Column, common: frozenset[str]) -> Column:
+    """(foreign, mashed): the share of a passage's words that aren't common, 0 for fewer than four words; and is_mashed."""
+
+    @F.pandas_udf("foreign double, mashed boolean")
+    def judged(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            split = (t.split(" ") for t in s)
-            yield pd.Series([sum(w not in common for w in ws) / len(ws) if len(ws) > 3 else 0.0 for ws in split], dtype="float64")
+            split = [t.split(" ") for t in s]
+            yield pd.DataFrame({"foreign": [sum(w not in common for w in ws) / len(ws) if len(ws) > 3 else 0.0 for ws in split], "mashed": [is_mashed(ws, common) for ws in split]})
 
-    return shares(norm)
+    return judged(norm)
 
 
 def common_words(distinct: DataFrame, least: float = COMMON) -> frozenset[str]:
@@ -94,7 +111,7 @@ def common_words(distinct: DataFrame, least: float = COMMON) -> frozenset[str]:
 def label() -> Column:
     """The kind of residue that a passage is by itself, trusted; null: none."""
     norm = F.col("norm")
-    found = F.when(F.col("code"), "error").when(F.col("rep"), "filler")
+    found = F.when(F.col("code"), "error").when(F.col("w.mashed"), "filler")
     for kind, examples in R.EXAMPLES.items():
         found = found.when(norm.isin(*examples), kind)
     for kind, patterns in R.PATTERNS.items():
@@ -123,11 +140,12 @@ def residue(documents: DataFrame, max_hamming: int = 14, similarity: float = 0.8
 
     Null and empty texts are no residue. Repeated doc_ids are one. Texts are read whole, whatever their length.
     """
-    all_passages = written(passages(documents).withColumn("pid", F.struct(F.xxhash64("norm").alias("a"), F.xxhash64(F.lit(7), "norm").alias("b"))), "passages")
-    distinct = all_passages.filter("norm <> ''").groupBy("pid").agg(F.first("norm").alias("norm"), F.count("*").alias("times"), F.max("code").alias("code"), F.max("rep").alias("rep"), F.max("names").alias("names"))
+    all_passages = written(passages(spread(documents)).withColumn("pid", F.struct(F.xxhash64("norm").alias("a"), F.xxhash64(F.lit(7), "norm").alias("b"))), "passages")
+    distinct = all_passages.filter("norm <> ''").groupBy("pid").agg(F.first("norm").alias("norm"), F.count("*").alias("times"), F.max("code").alias("code"), F.max("names").alias("names"))
     distinct = written(distinct, "distinct")
-    foreign = (foreign_share(F.col("norm"), common_words(distinct)) >= FOREIGN) & ~F.col("names") & (F.col("times") < OFTEN)
-    by_itself = written(distinct.select("pid", "norm", foreign.alias("foreign"), label().alias("label"), simhash(F.col("norm")).alias("sim")), "by-itself")
+    judged = distinct.withColumns({"w": by_words(F.col("norm"), common_words(distinct)), "sim": simhash(F.col("norm"))})
+    foreign = (F.col("w.foreign") >= FOREIGN) & ~F.col("names") & (F.col("times") < OFTEN)
+    by_itself = written(judged.select("pid", "norm", foreign.alias("foreign"), label().alias("label"), "sim"), "by-itself")
     model = _filler_model(all_passages, by_itself)
     known = by_itself
     if model:

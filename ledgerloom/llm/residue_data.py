@@ -67,9 +67,9 @@ PATTERNS = {
     "error": (
         r"(?:http )?(?:error )?(?:bad request|unauthorized|forbidden|not found|page not found|gone|request timeout|internal server error|bad gateway|service unavailable|gateway time ?out|too many requests|access denied|session expired|something went wrong|page unavailable|connection refused|connection timed out)(?: error)?",
         r"(?:seite nicht gefunden|zugriff verweigert|dienst nicht verfügbar|interner serverfehler|sitzung abgelaufen|zeitüberschreitung|page introuvable|accès refusé|service indisponible|erreur interne du serveur|session expirée|página no encontrada|acceso denegado|servicio no disponible|error interno del servidor|sesión caducada)",
-        r"(?:the|this) (?:page|document|file|record|transcript|resource)(?: you requested| you are looking for)? (?:could not be|cannot be|was not) (?:found|displayed|loaded|opened)\b.{0,40}", r"\w*exception in (?:thread|module)\b.{0,60}", r"traceback most recent call last.{0,80}",
+        r"(?:the|this) (?:page|document|file|record|transcript|resource)(?: you requested| you are looking for)? (?:could not be|cannot be|was not) (?:found|displayed|loaded|opened)\b.{0,40}", r"(?:null pointer|unhandled exception|segmentation fault)\b.*", r"\w*exception in (?:thread|module)\b.{0,60}", r"traceback most recent call last.{0,80}",
     ),
-    "filler": (r"(?:\w+ ){0,3}\blorem ipsum\b(?! from| für| de principio| du début).*", r".*\b(?:test test|essai essai|prueba prueba)(?: test)?", r"(?:insert|your) text here", r"(?:bla ){3,}bla.*"),
+    "filler": (r"(?:\w+ ){0,3}\blorem ipsum\b(?! from| für| de principio| du début).*", r".*\b(?:test test test|essai essai|prueba prueba)\b.*", r"(?:insert|your) text here", r"(?:bla ){3,}bla.*"),
 }
 
 #: Whole passages that stand alone only where a system wrote: a code of an HTTP error, with or without the word, before digits are dropped.
