@@ -35,3 +35,9 @@ def lookup_left(events: DataFrame, facts: DataFrame, keys: Sequence[str], counte
     salted = events.join(mark, list(keys), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*events.columns), F.lit(pieces))).otherwise(F.lit(0).cast("bigint"))).drop("__hot")
     spread = facts.join(mark, list(keys), "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint"))))).drop("__hot")
     return salted.join(spread, [*keys, "__salt"], "left").drop("__salt")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over at least as many partitions as there are cores. For costly work per row on a table of few files; a table with more partitions stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
