@@ -71,22 +71,22 @@ def passages(documents: DataFrame) -> DataFrame:
 def is_mashed(words: list[str], common: frozenset[str]) -> bool:
     """Whether a run of at least five words, or the whole of at least three, is made of one or two words (of any number, if of x only) that aren't common."""
 
+    folded = ["x" if set(w) == {"x"} else w for w in words]
+    kinds = set(folded)
+    if len(words) < 3 or len(words) - len(kinds) < 2:
+        return False
+
     def ends(start: int) -> int:
         held: set[str] = set()
         for i in range(start, len(words)):
-            w = words[i]
-            if w in common or not 2 <= len(w) <= 8:
+            if words[i] in common or not 2 <= len(words[i]) <= 8:
                 return i
-            held.add("x" if set(w) == {"x"} else w)
+            held.add(folded[i])
             if len(held) > 2:
                 return i
         return len(words)
 
-    if len(words) < 3 or len(words) - len(set(words)) < 2:
-        return False
-    if ends(0) == len(words):
-        return len(words) - len(set(words)) >= (2 if len(set(words)) == 1 or set("".join(words)) == {"x"} else 3)
-    return any(ends(i) - i >= 5 for i in range(len(words) - 4))
+    return ends(0) == len(words) or any(ends(i) - i >= 5 for i in range(len(words) - 4))
 
 
 def by_words(norm: Column, common: frozenset[str]) -> Column:
@@ -102,10 +102,10 @@ def by_words(norm: Column, common: frozenset[str]) -> Column:
 
 
 def common_words(distinct: DataFrame, least: float = COMMON) -> frozenset[str]:
-    """Words that at least a share `least` of all distinct passages has. There can be no more of them than words in an average passage / least."""
+    """Words that at least a share `least`, and two, of all distinct passages have. There can be no more of them than words in an average passage / least."""
     n = distinct.count()
     per_word = distinct.select(F.explode(F.array_distinct(F.split("norm", " "))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
-    return frozenset(r["w"] for r in per_word.filter(F.col("n") >= least * n).collect())
+    return frozenset(r["w"] for r in per_word.filter(F.col("n") >= max(2, least * n)).collect())
 
 
 def label() -> Column:
