@@ -85,25 +85,27 @@ def table_keys(sim: Column) -> Column:
 
 
 def spread_labels(texts: DataFrame, max_hamming: int, least: float, shortest: int = 12) -> DataFrame:
-    """(pid, norm, label, sim): the labelled rows of `texts` and all that are connected with them by near-duplicates.
+    """(pid, norm, label, sim): the labelled rows of `texts` and all that are connected with seeds by near-duplicates.
 
-    texts: pid (any type that can be joined), norm, label (null: none), sim. Rows agree in a table of SimHash blocks, then in Hamming distance and in trigram Jaccard, or there is no link. From the
-    labelled rows the search goes outward through the tables of all rows, a step at a time, each step from those found by the last, and ends when a step
-    finds none: the components that hold a label, without ever forming links among the rest. A row takes the smallest label that reaches it first.
+    texts: pid (any type that can be joined), norm, label (null: none), seed (whether the search starts from a labelled row; null: it doesn't), sim. Rows agree in a table of SimHash blocks, then in Hamming distance
+    and in trigram Jaccard, or there is no link. From the seeds the search goes outward through the tables of all unlabelled rows, a step at a time, each step from those found by the last, and ends
+    when a step finds none: the components that hold a seed, without ever forming links among the rest. A row takes the smallest label that reaches it first.
     Texts shorter than `shortest` have too few trigrams to be near anything but themselves and are left as they are.
     """
-    texts = texts.select("pid", "norm", "label", "sim")
-    found = texts.filter("label IS NOT NULL")
-    front = found.filter(F.length("norm") >= shortest)
-    rest = texts.filter(F.col("label").isNull() & (F.length("norm") >= shortest)).drop("label")
+    found = texts.filter("label IS NOT NULL").select("pid", "norm", "label", "sim")
+    front = texts.filter(F.col("label").isNotNull() & F.col("seed") & (F.length("norm") >= shortest))
+    rest = texts.filter(F.col("label").isNull() & (F.length("norm") >= shortest)).select("pid", "norm", "sim")
+    reached = None
     while True:
         asked = small(front.select(F.explode(table_keys(F.col("sim"))).alias("key"), F.col("norm").alias("near"), "label", F.col("sim").alias("other")).distinct())
-        held = rest.select("pid", "norm", "sim", F.explode(table_keys(F.col("sim"))).alias("key"))
+        held = rest.withColumn("key", F.explode(table_keys(F.col("sim"))))
         close = held.join(asked, "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= max_hamming)
         pairs = close.select("pid", "norm", "sim", "near", "label").distinct()
-        hits = pairs.filter(similarity(F.col("norm"), F.col("near")) >= least)
-        front = written(hits.groupBy("pid").agg(F.first("norm").alias("norm"), F.min("label").alias("label"), F.first("sim").alias("sim")), "front")
+        hits = pairs.filter(similarity(F.col("norm"), F.col("near")) >= least).groupBy("pid").agg(F.first("norm").alias("norm"), F.min("label").alias("label"), F.first("sim").alias("sim"))
+        if reached is not None:
+            hits = hits.join(reached.select("pid"), "pid", "left_anti")
+        front = written(hits, "front")
         if front.isEmpty():
             return found
+        reached = front if reached is None else reached.unionByName(front)
         found = found.unionByName(front.select(found.columns))
-        rest = written(rest.join(front, "pid", "left_anti"), "rest")

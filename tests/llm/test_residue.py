@@ -78,14 +78,14 @@ def test_labels_spread_over_whole_components(spark, frame):
             b[r.randrange(len(b))] = r.choice(string.ascii_lowercase)
             texts.append("".join(b))
     sims = simhash_values(texts)
-    rows = [(i, t, "x" if i % 6 == 0 and i < 24 else None, int(s)) for i, (t, s) in enumerate(zip(texts, sims))]
-    df = frame("pid bigint, norm string, label string, sim bigint", rows)
+    rows = [(i, t, "x" if i % 6 == 0 and i < 30 else None, i < 24, int(s)) for i, (t, s) in enumerate(zip(texts, sims))]
+    df = frame("pid bigint, norm string, label string, seed boolean, sim bigint", rows)
     keys = {x.pid: set(x.k) for x in df.select("pid", table_keys(df.sim).alias("k")).collect()}
 
     def linked(i, j):
         return bool(keys[i] & keys[j]) and bin((int(sims[i]) ^ int(sims[j])) % 2**64).count("1") <= 14 and trigram_jaccard([texts[i]], [texts[j]])[0] >= 0.8
 
-    want, front = {i for i, x in enumerate(rows) if x[2]}, [i for i, x in enumerate(rows) if x[2]]
+    want, front = {i for i, x in enumerate(rows) if x[2]}, [i for i, x in enumerate(rows) if x[2] and x[3]]
     while front:
         i = front.pop()
         for j in range(len(texts)):
