@@ -31,7 +31,6 @@ def lookup_left(events: DataFrame, facts: DataFrame, keys: Sequence[str], counte
     if flagged.isEmpty():
         return events.join(facts, list(keys), "left")
     mark = flagged.withColumn("__hot", F.lit(True))
-    mark = F.broadcast(mark)
     salted = events.join(mark, list(keys), "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(*events.columns), F.lit(pieces))).otherwise(F.lit(0).cast("bigint"))).drop("__hot")
     spread = facts.join(mark, list(keys), "left").withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0).cast("bigint"), F.lit(pieces - 1).cast("bigint"))).otherwise(F.array(F.lit(0).cast("bigint"))))).drop("__hot")
     return salted.join(spread, [*keys, "__salt"], "left").drop("__salt")
