@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.joins import small
+from ledgerloom.plans.joins import BROADCAST_ROWS
 from ledgerloom.plans.scratch import written
 
-#: A SimHash of 64 bits is cut into so many blocks; a table for each pair of blocks. Two values with a distance below 7 agree in some table for certain.
+#: A SimHash of 64 bits is cut into so many blocks; a table for each block. Two values with a distance below that number agree in some table for certain.
 BLOCKS = 8
 WIDTH = 64 // BLOCKS
 GRAM = 3
+#: Characters that one broadcast block of asking texts may hold, all tables together, on average.
+BROADCAST_CHARS = 32 << 20
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -79,9 +80,8 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def table_keys(sim: Column) -> Column:
-    """One key for each pair of blocks: the table's number and the blocks' bits."""
-    block = [F.shiftrightunsigned(sim, i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)) for i in range(BLOCKS)]
-    return F.array(*[F.lit(t << 2 * WIDTH) + F.shiftleft(block[i], WIDTH) + block[j] for t, (i, j) in enumerate(combinations(range(BLOCKS), 2))])
+    """One key for each table: its number and the block's bits."""
+    return F.array(*[F.lit(t << WIDTH) + F.shiftrightunsigned(sim, t * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)) for t in range(BLOCKS)])
 
 
 def spread_labels(texts: DataFrame, max_hamming: int, least: float, shortest: int = 12) -> DataFrame:
@@ -96,12 +96,20 @@ def spread_labels(texts: DataFrame, max_hamming: int, least: float, shortest: in
     front = texts.filter(F.col("label").isNotNull() & F.col("seed") & (F.length("norm") >= shortest))
     rest = texts.filter(F.col("label").isNull() & (F.length("norm") >= shortest)).select("pid", "norm", "sim")
     reached = None
+    held = rest.withColumn("key", F.explode(table_keys(F.col("sim"))))
     while True:
-        asked = small(front.select(F.explode(table_keys(F.col("sim"))).alias("key"), F.col("norm").alias("near"), "label", F.col("sim").alias("other")).distinct())
-        held = rest.withColumn("key", F.explode(table_keys(F.col("sim"))))
-        close = held.join(asked, "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= max_hamming)
-        pairs = close.select("pid", "norm", "sim", "near", "label").distinct()
-        hits = pairs.filter(similarity(F.col("norm"), F.col("near")) >= least).groupBy("pid").agg(F.first("norm").alias("norm"), F.min("label").alias("label"), F.first("sim").alias("sim"))
+        # The texts that ask are a query set against all rows; beyond what a broadcast may hold they ask in blocks.
+        asking = written(front.select(F.col("norm").alias("near"), "label", F.col("sim").alias("other")).distinct(), "asking")
+        n, chars = asking.agg(F.count("*"), F.coalesce(F.sum(F.length("near")), F.lit(0))).first()
+        blocks = max(1, -(-n * BLOCKS // BROADCAST_ROWS), -(-chars * BLOCKS // BROADCAST_CHARS))
+        hits = None
+        for i in range(blocks):
+            block = asking.filter(F.pmod(F.xxhash64("near"), F.lit(blocks)) == i).withColumn("key", F.explode(table_keys(F.col("other"))))
+            close = held.join(F.broadcast(block), "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= max_hamming)
+            pairs = close.select("pid", "norm", "sim", "near", "label").distinct()
+            near = pairs.filter(similarity(F.col("norm"), F.col("near")) >= least)
+            hits = near if hits is None else hits.unionByName(near)
+        hits = hits.groupBy("pid").agg(F.first("norm").alias("norm"), F.min("label").alias("label"), F.first("sim").alias("sim"))
         if reached is not None:
             hits = hits.join(reached.select("pid"), "pid", "left_anti")
         front = written(hits, "front")

@@ -129,7 +129,7 @@ def _filler_model(all_passages: DataFrame, by_itself: DataFrame) -> tuple[dict[s
     return fit(some, first(by_itself.filter("NOT foreign AND label IS NULL"), MOST_OTHERS)) if some else None
 
 
-def residue(documents: DataFrame, max_hamming: int = 14, similarity: float = 0.8) -> DataFrame:
+def residue(documents: DataFrame, max_hamming: int = 16, similarity: float = 0.8) -> DataFrame:
     """(doc_id, kinds): documents with residue in them, and which kinds.
 
     Texts are cut into passages: sentences, lines, labels. Quoted spans are taken out first, so that a speaker who quotes a notice isn't taken for one. Passages that

@@ -83,7 +83,7 @@ def test_labels_spread_over_whole_components(spark, frame):
     keys = {x.pid: set(x.k) for x in df.select("pid", table_keys(df.sim).alias("k")).collect()}
 
     def linked(i, j):
-        return bool(keys[i] & keys[j]) and bin((int(sims[i]) ^ int(sims[j])) % 2**64).count("1") <= 14 and trigram_jaccard([texts[i]], [texts[j]])[0] >= 0.8
+        return bool(keys[i] & keys[j]) and bin((int(sims[i]) ^ int(sims[j])) % 2**64).count("1") <= 16 and trigram_jaccard([texts[i]], [texts[j]])[0] >= 0.8
 
     want, front = {i for i, x in enumerate(rows) if x[2]}, [i for i, x in enumerate(rows) if x[2] and x[3]]
     while front:
@@ -92,20 +92,38 @@ def test_labels_spread_over_whole_components(spark, frame):
             if j not in want and linked(i, j):
                 want.add(j)
                 front.append(j)
-    got = [x.pid for x in spread_labels(df, 14, 0.8).collect()]
+    got = [x.pid for x in spread_labels(df, 16, 0.8).collect()]
     assert sorted(got) == sorted(want) and len(want) > 12
 
 
 def test_values_within_the_sure_distance_share_a_table(spark, frame):
     r = np.random.default_rng(5)
     a = r.integers(-(2**63), 2**63 - 1, 200)
-    b = [int(x) ^ int(np.bitwise_or.reduce(np.left_shift(np.int64(1), r.choice(63, 6, replace=False)))) for x in a]
+    b = [int(x) ^ int(np.bitwise_or.reduce(np.left_shift(np.int64(1), r.choice(63, 7, replace=False)))) for x in a]
     df = frame("a bigint, b bigint", [(int(x), y) for x, y in zip(a, b)])
     from pyspark.sql import functions as F
 
     assert df.filter(~F.arrays_overlap(table_keys(df.a), table_keys(df.b))).count() == 0
 
 
+def test_recall_of_the_tables_against_all_pairs():
+    """Pairs of sentences with a trigram similarity of 0.8 or more: how many agree in a table and in Hamming distance."""
+    r = random.Random(8)
+    a, b = [], []
+    while len(a) < 3_000:
+        x = "".join(r.choice(string.ascii_lowercase + "    ") for _ in range(r.randrange(40, 120)))
+        y = list(x)
+        for _ in range(r.randrange(1, 5)):
+            y[r.randrange(len(y))] = r.choice(string.ascii_lowercase)
+        if trigram_jaccard([x], ["".join(y)])[0] >= 0.8:
+            a.append(x)
+            b.append("".join(y))
+    d = simhash_values(a) ^ simhash_values(b)
+    same = sum((d >> np.int64(8 * t)) & np.int64(255) == 0 for t in range(8)) > 0
+    far = np.array([bin(int(x) % 2**64).count("1") for x in d])
+    assert (same & (far <= 16)).mean() > 0.95
+
+
 @pytest.mark.parametrize(("text", "mashed"), [("bla bla bla bla", True), ("klwk kwlk klwk klwk", True), ("the the the the the", False), ("xxx xxxx xxxxx", True), ("abcd efgh ijkl", False), ("one klwk klwk kwlk klwk klwk two", True), ("klwk", False), ("", False)])
 def test_mashed(text, mashed):
     assert is_mashed(text.split(" "), frozenset({"the", "one", "two"})) is mashed
