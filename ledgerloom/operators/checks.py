@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -101,3 +101,26 @@ def fingerprint(tables: dict[str, DataFrame], separator: str = "|") -> DataFrame
         text = F.concat_ws(separator, *[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~")) for c in df.columns])
         parts.append(df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.crc32(text)), F.lit(0)).cast("bigint").alias("checksum")).select(F.lit(name).alias("table_name"), "rows", "checksum"))
     return united(parts)
+
+
+def stream_health(progress: Mapping[str, object] | None, messages: DataFrame, identifier: Sequence[str], most_copies: float = 1.20) -> dict[str, object]:
+    """What a stream's last progress and its target table say: rows taken in the last batch, watermark, surplus rows per message, and whether all is well. No progress yet isn't well."""
+    n = messages.agg(F.count("*").alias("n"), F.count_distinct(F.struct(*identifier)).alias("k")).first()
+    ratio = n["n"] / n["k"] if n["k"] else 99.0
+    taken = int(progress["numInputRows"]) if progress else -1
+    return {"taken": taken, "watermark": (progress or {}).get("eventTime", {}).get("watermark"), "copies": ratio, "ok": progress is not None and ratio <= most_copies}
+
+
+def realtime_checks(live: DataFrame, batch: DataFrame, day: dt.date, allow_lag: int = 0, low: float = 0.7, high: float = 1.5) -> DataFrame:
+    """(check_name, violations) of a live table against the batch table: its last day lags more than allowed; the day's rows are outside low..high of the mean of the seven days before in batch; days of both with other counts."""
+    today = F.lit(str(day)).cast("date")
+    late = live.agg(F.max("dt").alias("last"))
+    week = batch.filter(F.col("dt").between(F.date_sub(today, 7), F.date_sub(today, 1))).groupBy("dt").agg(F.count("*").alias("n")).agg(F.avg("n").alias("mean"))
+    seen = live.filter(F.col("dt") == today).agg(F.count("*").alias("n"))
+    both = week.withColumn("one", F.lit(1)).join(seen.withColumn("one", F.lit(1)), "one")  # one row each
+    counts = lambda df, sign: df.filter(F.col("dt") < today).groupBy("dt").agg((F.count("*") * sign).alias("n"))
+    common = counts(live, 1).unionByName(counts(batch, -1)).groupBy("dt").agg(F.sum("n").alias("net"), F.count("*").alias("sides")).filter("sides = 2 AND net <> 0")
+    return united([
+        _named(late, "live table is fresh", F.sum(F.when(F.coalesce(F.datediff(today, "last"), F.lit(9999)) > allow_lag, 1).otherwise(0))),
+        _named(both, "live volume", F.sum(F.when(F.col("n").between(low * F.col("mean"), high * F.col("mean")), 0).otherwise(1))), _named(common, "live equals batch", F.count("*")),
+    ])

@@ -7,7 +7,6 @@ Only a local session without that setting gets a temporary folder of its own.
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
@@ -15,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
+_paths: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,18 +33,21 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    """A path below the shared folder that nothing else uses; removed when the driver's Python ends."""
+    """A path below the shared folder that nothing else uses. A local one is removed when the driver's Python ends, any by clean()."""
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _paths.setdefault(spark.sparkContext.applicationId, []).append(path)
     if path.startswith("file:"):
         atexit.register(shutil.rmtree, path.removeprefix("file://"), ignore_errors=True)
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a path below the shared folder through Hadoop's file system, so that it works for any store."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def clean(spark: SparkSession) -> int:
+    """Delete what this application has written below the shared folder, on any file system; for long sessions, once no frame that reads it is needed. Returns the number of paths."""
+    paths = _paths.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -61,7 +64,3 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def local_path(url: str) -> str:
-    return os.path.abspath(url.removeprefix("file://"))

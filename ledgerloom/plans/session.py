@@ -20,7 +20,5 @@ SETTINGS = {
 def session(app: str = "ledgerloom", cpus: int | None = None, memory: str = "8g", partitions: int | None = None) -> SparkSession:
     """A local session for tests, the bench and the command line; on a cluster spark-submit brings its own master and memory."""
     cpus = cpus or os.cpu_count() or 4
-    builder = SparkSession.builder.appName(app).config(map=SETTINGS).config("spark.sql.shuffle.partitions", str(partitions or cpus))
-    if "SPARK_MASTER" in os.environ or not os.environ.get("MASTER"):
-        builder = builder.master(os.environ.get("SPARK_MASTER", f"local[{cpus}]")).config("spark.driver.memory", memory)
-    return builder.getOrCreate()
+    builder = SparkSession.builder.appName(app).config(map=SETTINGS).config("spark.sql.shuffle.partitions", str(partitions or cpus)).config("spark.driver.memory", memory)
+    return builder.master(os.environ.get("SPARK_MASTER", f"local[{cpus}]")).getOrCreate()

@@ -172,3 +172,18 @@ def test_dry_run_and_drift(frame, values):
     with pytest.raises(incremental.Refused):
         incremental.verify_written(df, df.limit(1), "k", "k")
     incremental.verify_written(df, df, "k", "k")
+
+
+def test_stream_health_and_live_against_batch(frame):
+    m = frame("k int, t string", [(1, "a"), (1, "a"), (2, None)])
+    assert checks.stream_health(None, m, ["k", "t"])["ok"] is False
+    got = checks.stream_health({"numInputRows": 3, "eventTime": {"watermark": "x"}}, m, ["k", "t"])
+    assert (got["taken"], got["watermark"], got["copies"], got["ok"]) == (3, "x", 1.5, False)
+    assert checks.stream_health({"numInputRows": 0}, m.limit(0), ["k"])["ok"] is False
+    days = lambda *ns: frame("dt date", [(day(i),) for i, n in enumerate(ns) for _ in range(n)])
+    live = lambda a, b, **k: counted(checks.realtime_checks(a, b, day(3), **k))
+    assert set(live(days(4, 4, 4, 4), days(4, 4, 4)).values()) == {0}
+    assert live(days(4, 4, 4, 9), days(4, 4, 4))["live volume"] == 1 and live(days(4, 4, 4, 1), days(4, 4, 4))["live volume"] == 1
+    assert live(days(4, 3, 4, 4), days(4, 4, 4))["live equals batch"] == 1
+    assert live(days(4, 4, 4), days(4, 4, 4))["live table is fresh"] == 1 and live(days(4, 4, 4), days(4, 4, 4), allow_lag=1)["live table is fresh"] == 0
+    assert live(days(), days()) == {"live table is fresh": 1, "live volume": 1, "live equals batch": 0}

@@ -33,7 +33,7 @@ def brute(left, right):
 CELL = st.tuples(st.sampled_from([1, 2, None]), st.sampled_from(["a", None]), st.sampled_from([0, 5, None]), st.sampled_from([0.0, 1.005, 1.01, 0.1 + 0.2, 0.3, None]), st.just("z"))
 
 
-@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(CELL, max_size=8), st.lists(CELL, max_size=8))
 def test_equals_brute_force(spark, left, right):
     got = diff_copies(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), ["k", "d"], FIELDS)
