@@ -87,14 +87,15 @@ def table_keys(sim: Column) -> Column:
 def spread_labels(texts: DataFrame, max_hamming: int, least: float, shortest: int = 12) -> DataFrame:
     """(pid, norm, label, sim): the labelled rows of `texts` and all that are connected with seeds by near-duplicates.
 
-    texts: pid (any type that can be joined), norm, label (null: none), seed (whether the search starts from a labelled row; null: it doesn't), sim. Rows agree in a table of SimHash blocks, then in Hamming distance
-    and in trigram Jaccard, or there is no link. From the seeds the search goes outward through the tables of all unlabelled rows, a step at a time, each step from those found by the last, and ends
-    when a step finds none: the components that hold a seed, without ever forming links among the rest. A row takes the smallest label that reaches it first.
+    texts: pid (any type that can be joined), norm, label (null: none), sim, and, if not every labelled row is a seed, seed (null: it isn't). Rows agree in a table of SimHash blocks, then in Hamming distance
+    and in trigram Jaccard, or there is no link. From the seeds the search goes outward through the tables of all other rows, labelled or not, a step at a time, each step from those found by the last, and ends
+    when a step finds none: the components that hold a seed, without ever forming links among the rest. A labelled row keeps its label and carries the search on; any other takes the smallest label that reaches it first.
     Texts shorter than `shortest` have too few trigrams to be near anything but themselves and are left as they are.
     """
     found = texts.filter("label IS NOT NULL").select("pid", "norm", "label", "sim")
-    front = texts.filter(F.col("label").isNotNull() & F.col("seed") & (F.length("norm") >= shortest))
-    rest = texts.filter(F.col("label").isNull() & (F.length("norm") >= shortest)).select("pid", "norm", "sim")
+    seed = F.col("label").isNotNull() & (F.coalesce("seed", F.lit(False)) if "seed" in texts.columns else F.lit(True))
+    front = texts.filter(seed & (F.length("norm") >= shortest))
+    rest = texts.filter(~seed & (F.length("norm") >= shortest)).select("pid", "norm", "sim", F.col("label").alias("own"))
     reached = None
     held = rest.withColumn("key", F.explode(table_keys(F.col("sim"))))
     while True:
@@ -106,14 +107,14 @@ def spread_labels(texts: DataFrame, max_hamming: int, least: float, shortest: in
         for i in range(blocks):
             block = asking.filter(F.pmod(F.xxhash64("near"), F.lit(blocks)) == i).withColumn("key", F.explode(table_keys(F.col("other"))))
             close = held.join(F.broadcast(block), "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= max_hamming)
-            pairs = close.select("pid", "norm", "sim", "near", "label").distinct()
+            pairs = close.select("pid", "norm", "sim", "own", "near", "label").distinct()
             near = pairs.filter(similarity(F.col("norm"), F.col("near")) >= least)
             hits = near if hits is None else hits.unionByName(near)
-        hits = hits.groupBy("pid").agg(F.first("norm").alias("norm"), F.min("label").alias("label"), F.first("sim").alias("sim"))
+        hits = hits.groupBy("pid").agg(F.first("norm").alias("norm"), F.coalesce(F.first("own"), F.min("label")).alias("label"), F.first("sim").alias("sim"), F.first("own").alias("own"))
         if reached is not None:
             hits = hits.join(reached.select("pid"), "pid", "left_anti")
         front = written(hits, "front")
         if front.isEmpty():
             return found
         reached = front if reached is None else reached.unionByName(front)
-        found = found.unionByName(front.select(found.columns))
+        found = found.unionByName(front.filter("own IS NULL").select(found.columns))

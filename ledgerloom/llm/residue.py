@@ -136,7 +136,7 @@ def residue(documents: DataFrame, max_hamming: int = 16, similarity: float = 0.8
     are residue by themselves, as unfilled slots, known examples or patterns over the whole passage, are trusted. Equal passages (without case, digits and
     punctuation) are one. Near-duplicates of trusted ones are found over partitioned SimHash tables of all passages, verified by Hamming
     distance and by text similarity (character trigrams, Jaccard `similarity`), and take over the label; from them the search goes on, until a connected
-    component has no more members. Words said over and over and pseudo-Latin were judged in every passage and are no seeds. A slot's label stays where the slot is: the sentence around it is a normal one.
+    component has no more members. Every trusted label starts the search, whether a wording, a pattern, words said over and over or the character model gave it. A slot's label stays where the slot is: the sentence around it is a normal one.
 
     Null and empty texts are no residue. Repeated doc_ids are one. Texts are read whole, whatever their length.
     """
@@ -145,12 +145,12 @@ def residue(documents: DataFrame, max_hamming: int = 16, similarity: float = 0.8
     distinct = written(distinct, "distinct")
     judged = distinct.withColumns({"w": by_words(F.col("norm"), common_words(distinct)), "sim": simhash(F.col("norm"))})
     foreign = (F.col("w.foreign") >= FOREIGN) & ~F.col("names") & (F.col("times") < OFTEN)
-    by_itself = written(judged.select("pid", "norm", foreign.alias("foreign"), label().alias("label"), (~F.col("w.mashed")).alias("seed"), "sim"), "by-itself")
+    by_itself = written(judged.select("pid", "norm", foreign.alias("foreign"), label().alias("label"), "sim"), "by-itself")
     model = _filler_model(all_passages, by_itself)
     known = by_itself
     if model:
         like = F.when(F.col("foreign") & F.col("label").isNull(), scores(F.col("norm"), *model))
-        known = written(by_itself.withColumn("label", F.coalesce("label", F.when(like >= FILLER_SCORE, "filler"))).withColumn("seed", F.col("seed") & (like.isNull() | (like < FILLER_SCORE))), "known")
+        known = written(by_itself.withColumn("label", F.coalesce("label", F.when(like >= FILLER_SCORE, "filler"))), "known")
     labelled = spread_labels(known, max_hamming, similarity).select("pid", "label")
     by_passage = all_passages.join(labelled, "pid").select("doc_id", "label")
     slots = all_passages.filter("slot").select("doc_id", F.lit("template").alias("label"))

@@ -50,6 +50,33 @@ def test_near_duplicates_take_over_the_label(frame):
     assert {r.doc_id for r in residue(frame("doc_id bigint, text string", rows)).collect()} == {1, 2}
 
 
+def test_repeated_words_start_the_search(frame):
+    one = "We told the clerk of the harbour board in the winter that {} and nothing else would ever come of it"
+    rows = [(1, one.format("klwk klwk klwk klwk klwk")), (2, one.format("klwx klwx klwx klwx")), (3, "The committee has costed the plan for the harbour of the town.")]
+    assert not is_mashed(rows[1][1].lower().split(" "), frozenset({"that", "and"}))
+    assert {r.doc_id for r in residue(frame("doc_id bigint, text string", rows)).collect()} == {1, 2}
+
+
+def test_labelled_rows_start_and_carry_the_search(frame):
+    """A chain a - b - c - d with links between neighbours only."""
+    r = random.Random(4)
+    a = "".join(r.choice(string.ascii_lowercase + "   ") for _ in range(80))
+    chain = [a]
+    for i in range(3):
+        x = list(chain[-1])
+        for j in (20 * i + 10, 20 * i + 18):
+            x[j] = "#"
+        chain.append("".join(x))
+    sims = [int(s) for s in simhash_values(chain)]
+    assert all(trigram_jaccard([x], [y])[0] >= 0.8 for x, y in zip(chain, chain[1:])) and all(trigram_jaccard([x], [y])[0] < 0.8 for x, y in zip(chain, chain[2:]))
+    # The first is a known wording, the second has a label of its own that starts no search, but stands between the first and the rest.
+    rows = [(i, t, ["error", "filler", None, None][i], i == 0, s) for i, (t, s) in enumerate(zip(chain, sims))]
+    df = frame("pid bigint, norm string, label string, seed boolean, sim bigint", rows)
+    assert sorted((x.pid, x.label) for x in spread_labels(df, 16, 0.8).collect()) == [(0, "error"), (1, "filler"), (2, "filler"), (3, "filler")]
+    # Without the column every labelled row is a seed.
+    assert sorted((x.pid, x.label) for x in spread_labels(df.filter("pid > 0").drop("seed"), 16, 0.8).collect()) == [(1, "filler"), (2, "filler"), (3, "filler")]
+
+
 def test_empty_table(frame):
     assert residue(frame("doc_id bigint, text string")).count() == 0
 
