@@ -24,8 +24,8 @@ _NOTE = r"(?=[(\[<{])(?:\([^()\n]{0,160}\)|\[[^\[\]\n]{0,200}\]|<[^<>\n]{1,40}>|
 
 #: A word is common if this share of all distinct passages has it; a passage with this share of other words, that aren't names, may be in no language of the corpus.
 COMMON, FOREIGN = 0.002, 0.8
-#: A passage that occurs so often is a formula. From this score of the character model on, a foreign passage is filler.
-OFTEN, FILLER_SCORE = 10, 1.2
+#: From this score of the character model on, a foreign passage is filler. How often it occurs doesn't matter: formulas are told by their score.
+FILLER_SCORE = 1.2
 
 
 def _fields(words: tuple[str, ...]) -> str:
@@ -141,10 +141,10 @@ def residue(documents: DataFrame, max_hamming: int = 16, similarity: float = 0.8
     Null and empty texts are no residue. Repeated doc_ids are one. Texts are read whole, whatever their length.
     """
     all_passages = written(passages(spread(documents)).withColumn("pid", F.struct(F.xxhash64("norm").alias("a"), F.xxhash64(F.lit(7), "norm").alias("b"))), "passages")
-    distinct = all_passages.filter("norm <> ''").groupBy("pid").agg(F.first("norm").alias("norm"), F.count("*").alias("times"), F.max("code").alias("code"), F.max("names").alias("names"))
+    distinct = all_passages.filter("norm <> ''").groupBy("pid").agg(F.first("norm").alias("norm"), F.max("code").alias("code"), F.max("names").alias("names"))
     distinct = written(distinct, "distinct")
     judged = distinct.withColumns({"w": by_words(F.col("norm"), common_words(distinct)), "sim": simhash(F.col("norm"))})
-    foreign = (F.col("w.foreign") >= FOREIGN) & ~F.col("names") & (F.col("times") < OFTEN)
+    foreign = (F.col("w.foreign") >= FOREIGN) & ~F.col("names")
     by_itself = written(judged.select("pid", "norm", foreign.alias("foreign"), label().alias("label"), "sim"), "by-itself")
     model = _filler_model(all_passages, by_itself)
     known = by_itself

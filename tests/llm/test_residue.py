@@ -77,6 +77,19 @@ def test_labelled_rows_start_and_carry_the_search(frame):
     assert sorted((x.pid, x.label) for x in spread_labels(df.filter("pid > 0").drop("seed"), 16, 0.8).collect()) == [(1, "filler"), (2, "filler"), (3, "filler")]
 
 
+def test_filler_held_by_many_documents(frame):
+    r = random.Random(6)
+    latin = lambda: " ".join("".join(r.choice(["qui", "gra", "ul", "bea", "nu", "est", "or", "um", "ve", "lis"]) for _ in range(4)) for _ in range(8))
+    plain = lambda: " ".join(r.choice("the committee has costed plan for winter road clearing and says so with regret because of warnings from town".split()) for _ in range(8))
+    hot, formula = latin(), "I herewith declare today's proceedings suspended"
+    rows = [(i, f"Lorem ipsum dolor. {latin()}. {latin()}.") for i in range(40)]
+    rows += [(1_000 + i, f"{plain()}. {plain()}.") for i in range(300)]
+    rows += [(2_000 + i, f"{hot}. {plain()}.") for i in range(1_000)]
+    rows += [(4_000 + i, f"{formula}. {plain()}.") for i in range(1_000)]
+    got = {x.doc_id for x in residue(frame("doc_id bigint, text string", rows)).collect()}
+    assert got == {*range(40), *range(2_000, 3_000)}
+
+
 def test_empty_table(frame):
     assert residue(frame("doc_id bigint, text string")).count() == 0
 
