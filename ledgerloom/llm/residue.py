@@ -39,6 +39,12 @@ def slot_pattern() -> str:
     return "|".join([*(f"(?:{p})" for p in R.SLOTS), asking, field, *(f"(?:{p})" for p in R.BARE)])
 
 
+def slot_mark() -> str:
+    """What no slot can do without, so that few lines are searched for all kinds of slots: every string that slot_pattern() finds holds it."""
+    asking = r"(?iu:\([^\[\]<>{}()\n]{0,40}(?:" + _fields(R.ASKING) + "))"
+    return r"[{<%@|\[]|\$\D|__|XX|NN|[Dd]{2}[./-]|TT|tt[./-]|[Jj]{2}[./-]|DAY|TAG|JOUR|DÍA|DIA|NAME|PRÉNOM|PRENOM|NOMBRE|" + asking
+
+
 def clean(text: Column) -> Column:
     """The text without invisible characters, escapes, hyphens at line ends and quoted spans; a line of one word is joined to the next."""
     t = F.translate(text, *R.PLAIN)
@@ -56,8 +62,7 @@ def normal(passage: Column) -> Column:
 
 def passages(documents: DataFrame) -> DataFrame:
     """(doc_id, norm, code, slot, names): every passage of every text. code: a bare error code. names: mostly names."""
-    # What no slot can do without, so that few lines are searched for all kinds of slots.
-    mark = F.col("line").rlike(r"[{<%@|\[]|\$\D|__|\([^)]{0,40}(?:add|conf|compl|foll|folgt|tb|ins|erg|ein|nach|préc|rell|por c|plac|fill)|XX|NN|[Dd]{2}[./-]|TT|JJ|tt[./-]|jj[./-]|DAY|TAG|JOUR|DÍA|DIA|NAME|PRÉNOM|PRENOM|NOMBRE")
+    mark = F.col("line").rlike(slot_mark())
     lines = documents.filter("text IS NOT NULL AND text <> ''").select("doc_id", F.explode(F.split(clean(F.col("text")), r"\n+")).alias("line"))
     # Notes may hold sentence ends; slots may look like notes, so they are looked for first.
     parts = lines.withColumn("slot", mark & F.col("line").rlike(slot_pattern())).select("doc_id", "slot", F.explode(F.split(F.regexp_replace("line", _NOTE, " "), _ENDS)).alias("p"))

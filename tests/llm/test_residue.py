@@ -4,8 +4,11 @@ import string
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm.neardup import simhash_values, spread_labels, table_keys, trigram_jaccard
-from ledgerloom.llm.residue import is_mashed, residue
+from ledgerloom.llm import residue_data as R
+from ledgerloom.llm.residue import is_mashed, residue, slot_mark, slot_pattern
 from ledgerloom.llm.wordless import fit, score
 
 FOUND = {
@@ -90,6 +93,27 @@ def test_filler_held_by_many_documents(frame):
     assert got == {*range(40), *range(2_000, 3_000)}
 
 
+def test_every_slot_passes_the_pre_filter(frame):
+    words = [o + before + w + after + c for w in R.ASKING for o, c in ["()", "[]", "<>", "{}", "(]"] for before, after in [("", ""), ("Name: ", " - the speaker"), ("a rather long note before this, ", "")]]
+    fields = [f"{o}{w}{c}" for w in R.FIELDS for o, c in ["[]", "<>", "{}"]]
+    others = ["{{votes}}", "${day}", "#{day}", "{% day %}", "<%= day %>", "@@day@@", "%(day)s", "$(day)", "[[day]]", "<<day>>", "__day__", "%member%", "$member$", "|member|", "<first_name>", "____", "xx.xx.20xx", "jour mois année", "día mes año", "tag monat jahr", "day month year", "nn votes", "xx votos"]
+    others += ["first name surname", "vorname nachname", "prénom nom", "prenom nom", "nombre apellidos"]
+    others += [f"{d}{s}{m}{s}{y}" for d in ["dd", "Dd", "dD", "tt", "jj", "Jj", "jJ"] for m in ["mm", "Mm"] for y in ["yyyy", "jjjj", "aaaa"] for s in "./-"]
+    rows = [(x,) for s in words + fields + others for x in {s, s.upper(), s.lower(), s.title()}]
+    df = frame("line string", rows)
+    slots = df.filter(F.col("line").rlike(slot_pattern()))
+    assert [x.line for x in slots.filter(~F.col("line").rlike(slot_mark())).collect()] == []
+    # All words in brackets are slots, as are all others in at least one case.
+    assert slots.count() > 0.8 * len(rows)
+
+
+def test_capital_slots_in_round_brackets(frame):
+    texts = ["The floor goes to (TBC) for the group.", "The vote (TBA) was close.", "(Insert speaker) has the floor.", "We thank (Fill in) for this.", "Voto (Insertar voto) cerrado.", "Das Wort hat (Einfügen) heute.", "La parole est à (À COMPLÉTER) maintenant.", "Sitting of Jj/Mm/Aaaa here."]
+    notes = ["(Applause) Thank you.", "(THE SITTING WAS SUSPENDED) We go on.", "(Confirmed by the clerk) We go on."]
+    rows = list(enumerate(texts + notes))
+    assert {x.doc_id for x in residue(frame("doc_id bigint, text string", rows)).collect()} == {*range(len(texts))}
+
+
 def test_empty_table(frame):
     assert residue(frame("doc_id bigint, text string")).count() == 0
 
