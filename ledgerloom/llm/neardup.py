@@ -1,4 +1,4 @@
-"""Near-duplicates over partitioned SimHash tables."""
+"""Near-duplicates by SimHash and trigrams."""
 
 from __future__ import annotations
 
@@ -16,7 +16,7 @@ from ledgerloom.plans.scratch import written
 BLOCKS = 8
 WIDTH = 64 // BLOCKS
 GRAM = 3
-#: Characters that one broadcast block of asking texts may hold, all tables together, on average.
+#: Characters that one broadcast block of asking texts may hold on average.
 BROADCAST_CHARS = 32 << 20
 
 
@@ -71,24 +71,34 @@ def trigram_jaccard(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def similarity(a: Column, b: Column) -> Column:
-    @F.pandas_udf("double")
-    def pairs(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series(trigram_jaccard(x.tolist(), y.tolist()))
+def nearest_label(norm: Column, sim: Column, asking: list[tuple[str, str, int]], max_hamming: int, least: float) -> Column:
+    """The smallest label among those of `asking`, (text, label, SimHash), that are within both bounds of a row; null: none is. Every row is compared with every one that asks, so that no pair is missed."""
+    by_label = sorted(asking, key=lambda x: x[1])
 
-    return pairs(a, b)
+    @F.pandas_udf("string")
+    def labels(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for texts, sims in parts:
+            values, out = sims.to_numpy(dtype=np.int64).view(np.uint64), np.full(len(sims), None, dtype=object)
+            for near, label, other in by_label:
+                at = np.flatnonzero(np.bitwise_count(values ^ np.uint64(other % 2**64)) <= max_hamming)
+                for i in at:
+                    if out[i] is None and trigram_jaccard([texts.iat[i]], [near])[0] >= least:
+                        out[i] = label
+            yield pd.Series(out, dtype="object")
+
+    return labels(norm, sim)
 
 
 def table_keys(sim: Column) -> Column:
-    """One key for each table: its number and the block's bits."""
+    """One key for each table: its number and the block's bits. For candidates where nine of ten are enough; spread_labels compares all."""
     return F.array(*[F.lit(t << WIDTH) + F.shiftrightunsigned(sim, t * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)) for t in range(BLOCKS)])
 
 
 def spread_labels(texts: DataFrame, max_hamming: int, least: float, shortest: int = 12) -> DataFrame:
     """(pid, norm, label, sim): the labelled rows of `texts` and all that are connected with seeds by near-duplicates.
 
-    texts: pid (any type that can be joined), norm, label (null: none), sim, and, if not every labelled row is a seed, seed (null: it isn't). Rows agree in a table of SimHash blocks, then in Hamming distance
-    and in trigram Jaccard, or there is no link. From the seeds the search goes outward through the tables of all other rows, labelled or not, a step at a time, each step from those found by the last, and ends
+    texts: pid (any type that can be joined), norm, label (null: none), sim, and, if not every labelled row is a seed, seed (null: it isn't). Rows agree in Hamming distance
+    and in trigram Jaccard, or there is no link. From the seeds the search goes outward through all other rows, labelled or not, a step at a time, each step from those found by the last, and ends
     when a step finds none: the components that hold a seed, without ever forming links among the rest. A labelled row keeps its label and carries the search on; any other takes the smallest label that reaches it first.
     Texts shorter than `shortest` have too few trigrams to be near anything but themselves and are left as they are.
     """
@@ -97,18 +107,15 @@ def spread_labels(texts: DataFrame, max_hamming: int, least: float, shortest: in
     front = texts.filter(seed & (F.length("norm") >= shortest))
     rest = texts.filter(~seed & (F.length("norm") >= shortest)).select("pid", "norm", "sim", F.col("label").alias("own"))
     reached = None
-    held = rest.withColumn("key", F.explode(table_keys(F.col("sim"))))
     while True:
         # The texts that ask are a query set against all rows; beyond what a broadcast may hold they ask in blocks.
         asking = written(front.select(F.col("norm").alias("near"), "label", F.col("sim").alias("other")).distinct(), "asking")
         n, chars = asking.agg(F.count("*"), F.coalesce(F.sum(F.length("near")), F.lit(0))).first()
-        blocks = max(1, -(-n * BLOCKS // BROADCAST_ROWS), -(-chars * BLOCKS // BROADCAST_CHARS))
+        blocks = max(1, -(-n // BROADCAST_ROWS), -(-chars // BROADCAST_CHARS))
         hits = None
         for i in range(blocks):
-            block = asking.filter(F.pmod(F.xxhash64("near"), F.lit(blocks)) == i).withColumn("key", F.explode(table_keys(F.col("other"))))
-            close = held.join(F.broadcast(block), "key").filter(F.bit_count(F.col("sim").bitwiseXOR(F.col("other"))) <= max_hamming)
-            pairs = close.select("pid", "norm", "sim", "own", "near", "label").distinct()
-            near = pairs.filter(similarity(F.col("norm"), F.col("near")) >= least)
+            block = [tuple(x) for x in asking.filter(F.pmod(F.xxhash64("near"), F.lit(blocks)) == i).collect()]
+            near = rest.withColumn("label", nearest_label(F.col("norm"), F.col("sim"), block, max_hamming, least)).filter("label IS NOT NULL")
             hits = near if hits is None else hits.unionByName(near)
         hits = hits.groupBy("pid").agg(F.first("norm").alias("norm"), F.coalesce(F.first("own"), F.min("label")).alias("label"), F.first("sim").alias("sim"), F.first("own").alias("own"))
         if reached is not None:

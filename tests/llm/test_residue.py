@@ -114,6 +114,23 @@ def test_capital_slots_in_round_brackets(frame):
     assert {x.doc_id for x in residue(frame("doc_id bigint, text string", rows)).collect()} == {*range(len(texts))}
 
 
+def test_links_that_share_no_table_are_found(frame):
+    r = random.Random(12)
+    pairs = []
+    while len(pairs) < 20:
+        x = "".join(r.choice(string.ascii_lowercase + "    ") for _ in range(r.randrange(40, 120)))
+        y = list(x)
+        for _ in range(r.randrange(1, 5)):
+            y[r.randrange(len(y))] = r.choice(string.ascii_lowercase)
+        y = "".join(y)
+        d = int(np.bitwise_xor.reduce(simhash_values([x, y]))) % 2**64
+        if all(d >> 8 * t & 255 for t in range(8)) and d.bit_count() <= 16 and trigram_jaccard([x], [y])[0] >= 0.8:
+            pairs.append((x, y))
+    texts = [t for p in pairs for t in p]
+    rows = [(i, t, None if i % 2 else "x", int(s)) for i, (t, s) in enumerate(zip(texts, simhash_values(texts)))]
+    assert sorted(x.pid for x in spread_labels(frame("pid bigint, norm string, label string, sim bigint", rows), 16, 0.8).collect()) == list(range(40))
+
+
 def test_empty_table(frame):
     assert residue(frame("doc_id bigint, text string")).count() == 0
 
