@@ -73,8 +73,8 @@ def passages(documents: DataFrame) -> DataFrame:
     return flat.filter("norm <> '' OR slot OR code")
 
 
-def is_mashed(words: list[str], common: frozenset[str]) -> bool:
-    """Whether a run of at least five words, or the whole of at least three, is made of one or two words (of any number, if of x only) that aren't common."""
+def is_mashed(words: list[str], common: frozenset[str], whole: bool = False) -> bool:
+    """Whether a run of at least five words, or the whole of at least three (with `whole`, only that), is made of one or two words (of any number, if of x only) that aren't common."""
 
     folded = ["x" if set(w) == {"x"} else w for w in words]
     kinds = set(folded)
@@ -91,17 +91,17 @@ def is_mashed(words: list[str], common: frozenset[str]) -> bool:
                 return i
         return len(words)
 
-    return ends(0) == len(words) or any(ends(i) - i >= 5 for i in range(len(words) - 4))
+    return ends(0) == len(words) or not whole and any(ends(i) - i >= 5 for i in range(len(words) - 4))
 
 
 def by_words(norm: Column, common: frozenset[str]) -> Column:
-    """(foreign, mashed): the share of a passage's words that aren't common, 0 for fewer than four words; and is_mashed."""
+    """(foreign, mashed, whole): the share of a passage's words that aren't common, 0 for fewer than four words; is_mashed, anywhere and as a whole."""
 
-    @F.pandas_udf("foreign double, mashed boolean")
+    @F.pandas_udf("foreign double, mashed boolean, whole boolean")
     def judged(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
             split = [t.split(" ") for t in s]
-            yield pd.DataFrame({"foreign": [sum(w not in common for w in ws) / len(ws) if len(ws) > 3 else 0.0 for ws in split], "mashed": [is_mashed(ws, common) for ws in split]})
+            yield pd.DataFrame({"foreign": [sum(w not in common for w in ws) / len(ws) if len(ws) > 3 else 0.0 for ws in split], "mashed": [is_mashed(ws, common) for ws in split], "whole": [is_mashed(ws, common, True) for ws in split]})
 
     return judged(norm)
 
@@ -124,6 +124,12 @@ def label() -> Column:
     return found
 
 
+def in_part() -> Column:
+    """Whether a passage is residue only for words repeated somewhere in it: what stands around them may be a normal sentence."""
+    norm, words = F.col("norm"), "|".join(R.REPEATED)
+    return (F.col("w.mashed") & ~F.col("w.whole")) | (norm.rlike(rf"\b({words})(?: \1)+\b") & ~norm.rlike(rf"^(?:{words})(?: (?:{words}))*$"))
+
+
 def _filler_model(all_passages: DataFrame, by_itself: DataFrame) -> tuple[dict[str, float], float] | None:
     """The character model, fitted on the foreign passages of texts that hold the classic filler, against all others. Bounded samples, taken by hash. None without such texts."""
     seeds = all_passages.filter("norm LIKE 'lorem ipsum%'").select("doc_id").distinct()
@@ -141,7 +147,8 @@ def residue(documents: DataFrame, max_hamming: int = 16, similarity: float = 0.8
     are residue by themselves, as unfilled slots, known examples or patterns over the whole passage, are trusted. Equal passages (without case, digits and
     punctuation) are one. Near-duplicates of trusted ones are found over partitioned SimHash tables of all passages, verified by Hamming
     distance and by text similarity (character trigrams, Jaccard `similarity`), and take over the label; from them the search goes on, until a connected
-    component has no more members. Every trusted label starts the search, whether a wording, a pattern, words said over and over or the character model gave it. A slot's label stays where the slot is: the sentence around it is a normal one.
+    component has no more members. Every trusted label of a whole passage starts the search, whether a wording, a pattern, words said over and over or the character model gave it.
+    The label of a slot, or of words repeated within a passage, stays where they are: the sentence around them may be a normal one.
 
     Null and empty texts are no residue. Repeated doc_ids are one. Texts are read whole, whatever their length.
     """
@@ -150,7 +157,7 @@ def residue(documents: DataFrame, max_hamming: int = 16, similarity: float = 0.8
     distinct = written(distinct, "distinct")
     judged = distinct.withColumns({"w": by_words(F.col("norm"), common_words(distinct)), "sim": simhash(F.col("norm"))})
     foreign = (F.col("w.foreign") >= FOREIGN) & ~F.col("names")
-    by_itself = written(judged.select("pid", "norm", foreign.alias("foreign"), label().alias("label"), "sim"), "by-itself")
+    by_itself = written(judged.select("pid", "norm", foreign.alias("foreign"), label().alias("label"), (~in_part()).alias("seed"), "sim"), "by-itself")
     model = _filler_model(all_passages, by_itself)
     known = by_itself
     if model:

@@ -72,5 +72,8 @@ PATTERNS = {
     "filler": (r"(?:\w+ ){0,3}\blorem ipsum\b(?! from| für| de principio| du début).*", r".*\b(?:test test test|essai essai|prueba prueba)\b.*", r"(?:insert|your) text here", r"(?:bla ){3,}bla.*"),
 }
 
+#: Words that patterns of filler find repeated, whatever stands around them.
+REPEATED = ("test", "essai", "prueba", "bla")
+
 #: Whole passages that stand alone only where a system wrote: a code of an HTTP error, with or without the word, before digits are dropped.
 CODES = r"(?:http |error |fehler |erreur |code )+[45]\d\d\b.{0,30}|[45]\d\d (?:not found|bad gateway|forbidden|gone|unauthorized|internal server error|service unavailable|gateway time.?out|too many requests)|(?:reference|referencia|référence|vorgangsnummer|incident|ticket):? *(?:no\.? ?|nr\.? ?)?[\dA-F]{2,}(?:-[\dA-F]{1,}){1,4}"

@@ -53,11 +53,13 @@ def test_near_duplicates_take_over_the_label(frame):
     assert {r.doc_id for r in residue(frame("doc_id bigint, text string", rows)).collect()} == {1, 2}
 
 
-def test_repeated_words_start_the_search(frame):
-    one = "We told the clerk of the harbour board in the winter that {} and nothing else would ever come of it"
-    rows = [(1, one.format("klwk klwk klwk klwk klwk")), (2, one.format("klwx klwx klwx klwx")), (3, "The committee has costed the plan for the harbour of the town.")]
-    assert not is_mashed(rows[1][1].lower().split(" "), frozenset({"that", "and"}))
-    assert {r.doc_id for r in residue(frame("doc_id bigint, text string", rows)).collect()} == {1, 2}
+def test_repeated_words_start_the_search_as_a_whole_only(frame):
+    r = random.Random(3)
+    plain = lambda: " ".join(r.choice("the committee has costed plan for winter road clearing and says so with regret because of warnings from town".split()) for _ in range(9))
+    normal = "Ce gouvernement rejette l'amendement relatif au dragage du port de la ville de Lunton et de ses environs"
+    texts = ["kwlkab kwlkab kwlkab kwlkab kwlkab kwlkab", "kwlkab kwlkab", "essai essai " + normal, normal, normal + " klwk klwk klwk klwk klwk", normal + " bla bla bla bla"]
+    rows = list(enumerate(texts)) + [(100 + i, plain()) for i in range(1_600)]
+    assert {x.doc_id for x in residue(frame("doc_id bigint, text string", rows)).collect()} == {0, 1, 2, 4}
 
 
 def test_labelled_rows_start_and_carry_the_search(frame):
