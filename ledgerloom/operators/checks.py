@@ -82,24 +82,34 @@ def order_checks(orders: DataFrame, detail: DataFrame, dws: DataFrame, ads: Data
     ])
 
 
-def lifecycle_checks(snapshot: DataFrame, expected: DataFrame) -> DataFrame:
-    """(check_name, violations) of the accumulating snapshot: whole rows that differ from the derivation, both ways and with repetitions; repeated orders; orders without a start; lags without their milestones or the reverse; no stage."""
-    cols = [c for c in expected.columns]
+def lifecycle_checks(snapshot: DataFrame, expected: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """(check_name, violations) of the accumulating snapshot, as it is stored, against its derivation (without update_time): whole rows that differ, both ways and with repetitions; rows more or
+    fewer than expected; repeated orders; orders without a start; a lag without its milestones or the reverse; no stage. With `events`: their rows beyond one per (order_id, event_type)."""
+    cols = [c for c in expected.columns if c != "update_time"]
     lag = lambda l, a, b: differs(F.col(l).isNotNull(), F.col(a).isNotNull() & F.col(b).isNotNull())  # noqa: E731, E741
-    bad_lag = lag("pay_lag_hours", "order_time", "pay_time") | lag("ship_lag_days", "pay_time", "ship_time") | lag("finish_lag_days", "ship_time", "finish_time")
-    rows = [("surplus rows", snapshot.select(cols).exceptAll(expected)), ("missing rows", expected.exceptAll(snapshot.select(cols)))]
-    return united([_named(df, name, F.count("*")) for name, df in rows] + [
+    bad_lag = lag("pay_lag_hours", "order_time", "pay_time") | lag("ship_lag_days", "order_time", "ship_time") | lag("finish_lag_days", "order_time", "finish_time")
+    signed = snapshot.select(*cols, F.lit(1).alias("sign")).unionByName(expected.select(*cols, F.lit(-1).alias("sign")))
+    # One shuffle tells both sides' surplus.
+    net = signed.groupBy(*cols).agg(F.sum("sign").alias("net"))
+    sizes = signed.groupBy("sign").count().agg(F.abs(F.sum(F.col("sign") * F.col("count"))).alias("n"))
+    parts = [
+        _named(net, "surplus rows", F.sum(F.greatest(F.col("net"), F.lit(0)))), _named(net, "missing rows", F.sum(F.greatest(-F.col("net"), F.lit(0)))), _named(sizes, "row count", F.max("n")),
         _named(snapshot, "order unique", F.count("*") - F.count_distinct("order_id")), _named(snapshot, "start known", F.count_if(F.col("order_time").isNull())),
         _named(snapshot, "lags follow milestones", F.count_if(bad_lag)), _named(snapshot, "stage known", F.count_if(F.col("current_stage").isNull())),
-    ])
+    ]
+    if events is not None:
+        pairs = events.groupBy("order_id", "event_type").agg(F.count("*").alias("n"))
+        parts.append(_named(pairs, "events unique", F.sum(F.col("n") - 1)))
+    return united(parts)
 
 
-def fingerprint(tables: dict[str, DataFrame], separator: str = "|") -> DataFrame:
-    """(table_name, rows, checksum): independent of row order; nulls are marked, so that no two rows of different values read the same."""
+def fingerprint(tables: dict[str, DataFrame], separator: str = "|", digest: str = "crc32") -> DataFrame:
+    """(table_name, rows, checksum): independent of row order; nulls are marked, so that no two rows of different values read the same. digest: crc32, or md5, of which the first 48 bits count."""
+    each = {"crc32": F.crc32, "md5": lambda t: F.conv(F.substring(F.md5(t), 1, 12), 16, 10).cast("bigint")}[digest]
     parts = []
     for name, df in tables.items():
         text = F.concat_ws(separator, *[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~")) for c in df.columns])
-        parts.append(df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.crc32(text)), F.lit(0)).cast("bigint").alias("checksum")).select(F.lit(name).alias("table_name"), "rows", "checksum"))
+        parts.append(df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(each(text)), F.lit(0)).cast("bigint").alias("checksum")).select(F.lit(name).alias("table_name"), "rows", "checksum"))
     return united(parts)
 
 

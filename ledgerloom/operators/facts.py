@@ -52,19 +52,41 @@ def scope_orders(events: DataFrame, first: Day, last: Day) -> DataFrame:
     return between_days(events, first, last).select("order_id").filter("order_id IS NOT NULL").distinct()
 
 
-def lifecycle(events: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """One row per order: milestones, stage and lags from all its events, however many copies of them there are. With a scope only its orders, but over their whole past."""
+def lifecycle(events: DataFrame, scope: DataFrame | None = None, update_time: dt.datetime | None = None) -> DataFrame:
+    """One row per order: milestones, stage and lags from all its events, however many copies of them there are. With a scope only its orders, but over their whole past.
+
+    A milestone is the latest event_time of its type, null if there is none. The stage is the milestone that happened last, of equal times the one nearest to the end (cancel, finish,
+    ship, pay, order); an order without any time is in stage order, with last_event_time 1970-01-01. pay_lag_hours are whole hours from order to pay, toward zero; ship_lag_days and
+    finish_lag_days are dates from order to ship and to finish. Null where a milestone is missing. Event types count in any case and with blanks around them. Rows without order_id are left out.
+    `update_time` is given, so that the same events give the same rows; null if it isn't.
+    """
     if scope is not None:
         events = events.join(scope, "order_id", "left_semi")
     kind = F.lower(F.trim("event_type"))
-    at = {e: F.max(F.when(kind == e, F.col("event_time"))).alias(f"{e}_time" if e != "order" else "placed") for e in EVENTS}
-    base = events.filter("order_id IS NOT NULL").groupBy("order_id").agg(F.max("user_id").alias("user_id"), F.max("product_id").alias("product_id"), F.max("amount").alias("amount"), *at.values())
-    base = base.withColumnRenamed("placed", "order_time")
-    stage = F.when(F.col("cancel_time").isNotNull(), "cancel").when(F.col("finish_time").isNotNull(), "finish").when(F.col("ship_time").isNotNull(), "ship").when(F.col("pay_time").isNotNull(), "pay").otherwise("order")
-    hours = F.expr("timestampdiff(HOUR, order_time, pay_time)").cast("bigint")
+    moments = [F.max(F.when(kind == e, F.col("event_time"))).alias(e) for e in EVENTS]
+    base = events.filter("order_id IS NOT NULL").groupBy("order_id").agg(*[F.max(c).alias(c) for c in ("user_id", "product_id", "amount")], *moments)
+    last = F.coalesce(F.greatest(*EVENTS), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+    stage = F.coalesce(*[F.when(F.col(e) == last, F.lit(e)) for e in reversed(EVENTS)], F.lit("order"))
+    days = lambda e: F.datediff(F.col(e), F.col("order")).cast("bigint").alias(f"{e}_lag_days")
     return base.select(
-        "*", stage.alias("current_stage"), hours.alias("pay_lag_hours"), F.datediff("ship_time", "pay_time").cast("bigint").alias("ship_lag_days"), F.datediff("finish_time", "ship_time").cast("bigint").alias("finish_lag_days"),
-        F.greatest("order_time", "pay_time", "ship_time", "finish_time", "cancel_time").alias("last_event_time"),
+        "order_id", "user_id", "product_id", "amount", *[F.col(e).alias(f"{e}_time") for e in EVENTS], stage.alias("current_stage"),
+        F.expr("timestampdiff(HOUR, `order`, pay)").cast("bigint").alias("pay_lag_hours"), days("ship"), days("finish"), last.alias("last_event_time"), F.lit(update_time).cast("timestamp_ntz").alias("update_time"),
+    )
+
+
+def expected_lifecycle(events: DataFrame) -> DataFrame:
+    """What lifecycle() must hold, derived another way, to check a stored table against: events are pivoted in long form, the last event is picked as a whole. Without update_time."""
+    seen = events.filter("order_id IS NOT NULL").withColumn("kind", F.lower(F.trim("event_type")))
+    last = F.max_by("kind", F.struct("event_time", F.array_position(F.array(*map(F.lit, EVENTS)), F.col("kind"))))
+    timed = seen.filter(F.col("kind").isin(*EVENTS) & F.col("event_time").isNotNull())
+    ends = timed.groupBy("order_id").agg(last.alias("stage"), F.max("event_time").alias("last"))
+    wide = timed.groupBy("order_id").pivot("kind", list(EVENTS)).agg(F.max("event_time"))
+    who = seen.groupBy("order_id").agg(F.max("user_id").alias("user_id"), F.max("product_id").alias("product_id"), F.max("amount").alias("amount"))
+    gap = "(unix_seconds(CAST(pay AS timestamp)) - unix_seconds(CAST(`order` AS timestamp)))"
+    return who.join(ends, "order_id", "left").join(wide, "order_id", "left").selectExpr(
+        "order_id", "user_id", "product_id", "amount", *[f"`{e}` AS {e}_time" for e in EVENTS], "coalesce(stage, 'order') AS current_stage",
+        f"CAST(sign({gap}) * floor(abs({gap}) / 3600) AS bigint) AS pay_lag_hours", "CAST(unix_date(CAST(ship AS date)) - unix_date(CAST(`order` AS date)) AS bigint) AS ship_lag_days",
+        "CAST(unix_date(CAST(finish AS date)) - unix_date(CAST(`order` AS date)) AS bigint) AS finish_lag_days", "coalesce(last, CAST('1970-01-01' AS timestamp_ntz)) AS last_event_time",
     )
 
 

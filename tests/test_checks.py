@@ -121,7 +121,8 @@ def test_lifecycle(frame, values):
     events = frame(EVENTS, [*rows, (None, 1, 1, 5, None, "pay", t(1, 1), D)])
     got = {r.order_id: r for r in facts.lifecycle(events).collect()}
     assert (got[1].current_stage, got[1].pay_lag_hours, got[1].ship_lag_days, got[1].last_event_time) == ("ship", 1, 2, t(3, 0))
-    assert (got[2].current_stage, got[2].pay_lag_hours) == ("pay", -2) and got[3].current_stage == "cancel"
+    # The stage is what happened last, not what is nearest to the end.
+    assert (got[2].current_stage, got[2].pay_lag_hours) == ("order", -2) and got[3].current_stage == "cancel"
     part = facts.lifecycle(events, facts.scope_orders(events, day(2), day(2)))
     assert values(part) == [x for x in values(facts.lifecycle(events)) if x[0] == 1]
     clean = facts.lifecycle(events)
@@ -130,6 +131,21 @@ def test_lifecycle(frame, values):
     assert (bad["surplus rows"], bad["missing rows"], bad["order unique"]) == (1, 1, 1)
 
 
+def test_lifecycle_of_events_out_of_order(frame, values):
+    t = lambda d, h: dt.datetime(2024, 1, d, h)
+    ev = lambda o, kind, when: (o, 1, 1, 5, None, kind, when, D)
+    rows = [ev(1, "pay", t(1, 7)), ev(1, "order", t(1, 9)), ev(2, "order", t(1, 9)), ev(2, "cancel", t(2, 0)), ev(2, "ship", t(4, 0)), ev(3, "order", t(1, 0)), ev(3, "finish", t(9, 0)), ev(3, "cancel", t(9, 0)), ev(4, "pay", None), ev(5, None, t(1, 1)), ev(6, "ship", t(5, 0)), ev(6, "finish", t(3, 0))]
+    events = frame(EVENTS, rows)
+    got = {r.order_id: r for r in facts.lifecycle(events, update_time=t(20, 1)).collect()}
+    assert {o: r.current_stage for o, r in got.items()} == {1: "order", 2: "ship", 3: "cancel", 4: "order", 5: "order", 6: "ship"}
+    assert (got[2].ship_lag_days, got[3].finish_lag_days, got[6].ship_lag_days, got[6].finish_lag_days) == (3, 8, None, None)
+    assert got[4].last_event_time == dt.datetime(1970, 1, 1) and {r.update_time for r in got.values()} == {t(20, 1)}
+    assert values(facts.lifecycle(events).drop("update_time")) == values(facts.expected_lifecycle(events))
+    stale = counted(checks.lifecycle_checks(facts.lifecycle(events.filter("event_type <> 'ship'")), facts.expected_lifecycle(events), events.unionByName(events.limit(2))))
+    assert (stale["surplus rows"], stale["missing rows"], stale["row count"], stale["events unique"], stale["start known"]) == (2, 3, 1, 2, 2)
+    assert facts.lifecycle(frame(EVENTS)).count() == 0 == facts.expected_lifecycle(frame(EVENTS)).count()
+
+
 def test_detail_takes_the_largest_amount_and_drops_signs(frame, values):
     o = frame(ORDERS, [(1, 1, 1, -9, None, "paid", D), (1, 1, 1, 5, None, "paid", D), (1, 1, 1, 9, None, "refund", day(1)), (2, None, 1, 5, None, "paid", D), (3, 1, None, None, None, None, None)])
     assert [x[:3] for x in values(facts.order_detail(o).withColumn("amount", facts.F.col("amount").cast("string")), "order_id", "dt", "amount")] == [(1, "2024-01-01", "9.00"), (1, "2024-01-02", "9.00"), (3, None, None)]

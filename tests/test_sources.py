@@ -256,3 +256,20 @@ def test_warehouse_from_raw_to_marts(spark, tmp_path, monkeypatch, capsys):
     assert cli.main([*lake, "marts", "--truncate", "--range", "2024-01-01", "2024-01-02"]) == 1
     assert cli.main([*lake, "marts", "--range", "2024-01-02", "2024-01-01"]) == 1
     assert cli.main([*lake, "run", "--day", "2024-01-08", "--ledger", f"{tmp_path}/l.csv"]) == 0
+
+
+def test_next_events_go_on_from_what_was_told(spark, frame):
+    o = generators.orders(spark, D, 1, 300, no_user=0)
+    told = generators.order_events(o, copies=0, shifted=0)
+    first = told.filter("event_type = 'order'")
+    later = [generators.next_events(first, day(i)) for i in range(6)]
+    assert sum(x.count() for x in later) == told.filter("event_type <> 'order'").count()
+    assert generators.next_events(told, day(1)).count() == 0
+    assert generators.next_events(first.limit(0), D).count() == 0
+    lives = (generators.Life(1, {"cancel": 3}),)
+    assert {r.event_type for r in generators.next_events(first, D, lives=lives).collect()} == {"cancel"}
+    bad = generators.dirty(told, copies=0.5, no_user=1, negative=1, late=1, late_days=3, regressed=1)
+    assert bad.filter("user_id IS NOT NULL OR amount > 0").count() == 0 and bad.count() > 2 * told.count()
+    assert generators.dirty(told, huge=1).filter("amount < 9999999").count() == 0
+    sent = [(r.event_time, r.order_id) for r in generators.in_order(told.repartition(5)).collect()]
+    assert sent == sorted(sent)
