@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,12 +10,16 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.exprs import day
 from ledgerloom.operators import checks, dims, facts, recon
+from ledgerloom.plans.scratch import new_path
+from ledgerloom.plans.warehouse import LifecycleTable
 from ledgerloom.sources.tables import table
+from ledgerloom.sources.versioned import VersionedTable
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 #: Constants of the queries below and of their SQL.
 CUT = "2024-03-01"
+AS_OF = dt.datetime(2024, 3, 5, 6, 7, 8)
 SCOPE = ("2024-03-03", "2024-03-04")
 
 
@@ -153,13 +158,18 @@ def order_sku_unmatched(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def order_lifecycle(s: SparkSession, d: str) -> DataFrame:
-    return facts.lifecycle(_events(s, d))
+    return facts.lifecycle(_events(s, d), update_time=AS_OF)
 
 
 @query
 def order_lifecycle_incremental(s: SparkSession, d: str) -> DataFrame:
     e = _events(s, d)
-    return facts.lifecycle(e, facts.scope_orders(e, *SCOPE))
+    return facts.lifecycle(e, facts.scope_orders(e, *SCOPE), AS_OF)
+
+
+@query
+def order_lifecycle_expected(s: SparkSession, d: str) -> DataFrame:
+    return facts.expected_lifecycle(_events(s, d))
 
 
 @query
@@ -223,10 +233,27 @@ def order_checks(s: SparkSession, d: str) -> DataFrame:
     return checks.order_checks(_orders(s, d), _detail(s, d), table(s, d, "dws_user_order_day"), table(s, d, "ads_daily_sales"))
 
 
+def _held_lifecycle(s: SparkSession, d: str, go_on: bool) -> DataFrame:
+    """A stored lifecycle: made of the batches before CUT, and brought up to date by upserts of the orders that later batches touch, or not."""
+    e = _events(s, d)
+    held = LifecycleTable(s, new_path(s, "lifecycle"))
+    held.rebuild(e.filter(F.col("dt") < F.lit(CUT).cast("date")))
+    if go_on:
+        held.advance(e, CUT, None)
+    return held.read()
+
+
 @query
 def lifecycle_checks(s: SparkSession, d: str) -> DataFrame:
-    snapshot = facts.lifecycle(_events(s, d))
-    return checks.lifecycle_checks(snapshot, snapshot)
+    """The lifecycle as it was stored step by step against its derivation from all events."""
+    e = _events(s, d)
+    return checks.lifecycle_checks(_held_lifecycle(s, d, True), facts.expected_lifecycle(e), e)
+
+
+@query
+def lifecycle_checks_behind(s: SparkSession, d: str) -> DataFrame:
+    """The same for a stored lifecycle that wasn't brought up to date: what must come out does."""
+    return checks.lifecycle_checks(_held_lifecycle(s, d, False), facts.expected_lifecycle(_events(s, d)))
 
 
 @query
@@ -235,22 +262,35 @@ def recon_watermarks(s: SparkSession, d: str) -> DataFrame:
     return recon.watermarks({n: (table(s, d, n), c) for n, c in days.items()} | {"ods_product": (_snapshots(s, d), "snapshot_date")})
 
 
+def _raw_with_user(s: SparkSession, d: str) -> DataFrame:
+    return _orders(s, d).filter("user_id IS NOT NULL")
+
+
 @query
 def recon_closure_detail(s: SparkSession, d: str) -> DataFrame:
-    """Days whose detail isn't as many rows as raw orders with a user have distinct ids."""
-    return _days(recon.closure(_orders(s, d).filter("user_id IS NOT NULL").select("dt", "order_id").distinct(), _detail(s, d)))
+    """Days on which the detail, stored before CUT, holds another number of rows than raw orders with a user came: repeated ones and days that weren't built come out."""
+    held = VersionedTable(s, new_path(s, "detail"), "dt")
+    held.append(_detail(s, d).filter(F.col("dt") < F.lit(CUT).cast("date")))
+    return _days(recon.closure(_raw_with_user(s, d), held.read()))
 
 
 @query
 def recon_closure_sku(s: SparkSession, d: str) -> DataFrame:
-    return _days(recon.closure(_detail(s, d), table(s, d, "dwd_order_sku_detail")))
+    """The same for the wide table as it is held."""
+    return _days(recon.closure(_raw_with_user(s, d), table(s, d, "dwd_order_sku_detail")))
 
 
 @query
 def recon_closure_lifecycle(s: SparkSession, d: str) -> DataFrame:
-    """Per event day, distinct orders with an event against those of them in the lifecycle."""
+    """Per event day, distinct orders with an event against those of them that a lifecycle stored before CUT holds."""
     e = _events(s, d).filter("order_id IS NOT NULL").select("dt", "order_id").distinct()
-    return _days(recon.closure(e, e.join(facts.lifecycle(_events(s, d)).select("order_id"), "order_id", "left_semi")))
+    return _days(recon.closure(e, e.join(_held_lifecycle(s, d, False).select("order_id"), "order_id", "left_semi")))
+
+
+@query
+def recon_bad_days_of_closure(s: SparkSession, d: str) -> DataFrame:
+    """The ten first days on which raw orders and wide table don't close."""
+    return _days(recon.closure(_raw_with_user(s, d), table(s, d, "dwd_order_sku_detail")).orderBy("dt").limit(10))
 
 
 @query
@@ -294,6 +334,12 @@ def fingerprint_product_chain(s: SparkSession, d: str) -> DataFrame:
     return checks.fingerprint({n: table(s, d, n) for n in ("ods_product", "dim_product_scd2", "dwd_order_sku_detail")} | {"dim_product": dims.current_from_scd2(table(s, d, "dim_product_scd2"))})
 
 
+@query
+def fingerprint_marts(s: SparkSession, d: str) -> DataFrame:
+    """By a digest that other engines have too."""
+    return checks.fingerprint({n: table(s, d, n) for n in ("ods_order", "ods_product", "dwd_order_sku_detail", "dws_user_order_day", "ads_daily_sales")}, digest="md5")
+
+
 @query
 def lineitem_dedup(s: SparkSession, d: str) -> DataFrame:
     """One row per order line: the latest shipment, of equal ones the largest in the other columns."""

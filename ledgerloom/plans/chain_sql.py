@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ledgerloom.plans.chain import AS_OF as LIFE_AS_OF
 from ledgerloom.plans.chain import CUT, SCOPE
 
 DETAIL = """
@@ -28,15 +29,27 @@ def _history(name: str, tracked: str) -> str:
 H5 = _history("h", "product_name, category, brand, price, status")
 H3 = _history("h", "category, price, status")
 HISTORY_OUT = "SELECT product_id, strftime(valid_from, '%Y-%m-%d') AS valid_from, strftime(valid_to, '%Y-%m-%d') AS valid_to, is_current, product_name, category, brand, price, status FROM h"
-LIFE = """
-life AS (
-  SELECT *, CASE WHEN cancel_time IS NOT NULL THEN 'cancel' WHEN finish_time IS NOT NULL THEN 'finish' WHEN ship_time IS NOT NULL THEN 'ship' WHEN pay_time IS NOT NULL THEN 'pay' ELSE 'order' END AS current_stage,
-    CAST(date_sub('hour', order_time, pay_time) AS BIGINT) AS pay_lag_hours, CAST(date_diff('day', CAST(pay_time AS DATE), CAST(ship_time AS DATE)) AS BIGINT) AS ship_lag_days, CAST(date_diff('day', CAST(ship_time AS DATE), CAST(finish_time AS DATE)) AS BIGINT) AS finish_lag_days,
-    greatest(order_time, pay_time, ship_time, finish_time, cancel_time) AS last_event_time
-  FROM (SELECT order_id, max(user_id) AS user_id, max(product_id) AS product_id, max(amount) AS amount, max(event_time) FILTER (k = 'order') AS order_time, max(event_time) FILTER (k = 'pay') AS pay_time, max(event_time) FILTER (k = 'ship') AS ship_time,
-      max(event_time) FILTER (k = 'finish') AS finish_time, max(event_time) FILTER (k = 'cancel') AS cancel_time
-    FROM (SELECT *, lower(trim(event_type)) AS k FROM ods_order_event WHERE order_id IS NOT NULL) GROUP BY order_id))
+_EPOCH = "TIMESTAMP '1970-01-01 00:00:00'"
+
+
+def _life(where: str = "TRUE", name: str = "life", last: str = "") -> str:
+    """The accumulating snapshot: the stage is the milestone at the latest event time, of equal ones the terminal one; both lags in days count from the order."""
+    times = ("order_time", "pay_time", "ship_time", "finish_time", "cancel_time")
+    return f"""
+{name}_agg AS (
+  SELECT order_id, max(user_id) AS user_id, max(product_id) AS product_id, max(amount) AS amount, {", ".join(f"max(CASE WHEN lower(trim(event_type)) = '{t.split('_')[0]}' THEN event_time END) AS {t}" for t in times)}
+  FROM ods_order_event WHERE order_id IS NOT NULL AND {where} GROUP BY order_id),
+{name} AS (
+  SELECT order_id, user_id, product_id, amount, {", ".join(times)},
+    CASE WHEN cancel_time = last_event_time THEN 'cancel' WHEN finish_time = last_event_time THEN 'finish' WHEN ship_time = last_event_time THEN 'ship' WHEN pay_time = last_event_time THEN 'pay' ELSE 'order' END AS current_stage,
+    CAST(date_sub('hour', order_time, pay_time) AS BIGINT) AS pay_lag_hours, CAST(date_diff('day', CAST(order_time AS DATE), CAST(ship_time AS DATE)) AS BIGINT) AS ship_lag_days, CAST(date_diff('day', CAST(order_time AS DATE), CAST(finish_time AS DATE)) AS BIGINT) AS finish_lag_days, last_event_time{last}
+  FROM (SELECT *, greatest({", ".join(f"coalesce({t}, {_EPOCH})" for t in times)}) AS last_event_time FROM {name}_agg))
 """
+
+
+LIFE = _life()
+LIFE_THEN = _life(f"dt < DATE '{CUT}'", "held")
+LIFE_OUT = f"SELECT *, TIMESTAMP '{LIFE_AS_OF}' AS update_time FROM life"
 USER_DAY = """
 user_day AS (
   SELECT user_id, dt, count(*) AS order_cnt, count(*) FILTER (status = 'paid') AS paid_cnt, CAST(coalesce(sum(amount) FILTER (status = 'paid'), 0) AS DECIMAL(18,2)) AS paid_amount, CAST(coalesce(sum(amount) FILTER (status = 'refund'), 0) AS DECIMAL(18,2)) AS refund_amount
@@ -93,8 +106,9 @@ def oracle_sql() -> dict[str, str]:
     q["order_sku_asof_inner"] = f"WITH {DETAIL}, {SNAP}, {H5} {SKU_OUT} FROM {AS_OF.format(how='INNER')}"
     q["order_sku_orphans"] = f"WITH {DETAIL}, {SNAP}, {H5} SELECT order_id, {_day('dt')}, user_id, product_id, amount, order_time, status FROM detail d WHERE NOT EXISTS (FROM h WHERE h.product_id = d.product_id AND d.dt BETWEEN h.valid_from AND h.valid_to)"
     q["order_sku_unmatched"] = f"WITH {DETAIL}, {SNAP}, {H5} SELECT {_day('d.dt')}, count(*) AS unmatched FROM {AS_OF.format(how='LEFT')} WHERE h.valid_from IS NULL GROUP BY d.dt"
-    q["order_lifecycle"] = f"WITH {LIFE} SELECT * FROM life"
-    q["order_lifecycle_incremental"] = f"WITH {LIFE} SELECT * FROM life WHERE order_id IN (SELECT order_id FROM ods_order_event WHERE dt BETWEEN DATE '{SCOPE[0]}' AND DATE '{SCOPE[1]}')"
+    q["order_lifecycle"] = f"WITH {LIFE} {LIFE_OUT}"
+    q["order_lifecycle_expected"] = f"WITH {LIFE} SELECT * FROM life"
+    q["order_lifecycle_incremental"] = f"WITH {LIFE} {LIFE_OUT} WHERE order_id IN (SELECT order_id FROM ods_order_event WHERE dt BETWEEN DATE '{SCOPE[0]}' AND DATE '{SCOPE[1]}')"
     q["lifecycle_stage_distribution"] = f"WITH {LIFE} SELECT current_stage, count(*) AS orders FROM life GROUP BY current_stage"
     lags = ", ".join(f"count({c}) AS n_{c}, min({c}) AS min_{c}, max({c}) AS max_{c}" for c in ("pay_lag_hours", "ship_lag_days", "finish_lag_days"))
     q["lifecycle_lags"] = f"WITH {LIFE} SELECT current_stage, {lags} FROM life GROUP BY current_stage"
@@ -133,17 +147,23 @@ def oracle_sql() -> dict[str, str]:
     UNION ALL SELECT 'derived columns', (SELECT count(*) FROM ads_daily_sales a JOIN remade r USING (dt) WHERE a.net_amount IS DISTINCT FROM r.net_amount OR a.avg_order_amount IS DISTINCT FROM r.avg_order_amount OR a.pay_rate IS DISTINCT FROM r.pay_rate OR a.paid_cnt > a.order_cnt)
     UNION ALL SELECT 'detail within raw orders', (SELECT count(*) FROM (SELECT dt, count(*) AS n FROM detail GROUP BY dt) x JOIN (SELECT dt, count(*) AS n FROM ods_order GROUP BY dt) y USING (dt) WHERE x.n > y.n)
     UNION ALL SELECT 'raw orders cover detail', (SELECT count(*) FROM (SELECT dt FROM detail EXCEPT SELECT dt FROM ods_order))"""
-    q["lifecycle_checks"] = f"""
-    WITH {LIFE} SELECT 'surplus rows' AS check_name, CAST(0 AS BIGINT) AS violations UNION ALL SELECT 'missing rows', 0 UNION ALL SELECT 'order unique', count(*) - count(DISTINCT order_id) FROM life
-    UNION ALL SELECT 'start known', count(*) FILTER (order_time IS NULL) FROM life
-    UNION ALL SELECT 'lags follow milestones', count(*) FILTER ((pay_lag_hours IS NOT NULL) <> (order_time IS NOT NULL AND pay_time IS NOT NULL) OR (ship_lag_days IS NOT NULL) <> (pay_time IS NOT NULL AND ship_time IS NOT NULL) OR (finish_lag_days IS NOT NULL) <> (ship_time IS NOT NULL AND finish_time IS NOT NULL)) FROM life
-    UNION ALL SELECT 'stage known', count(*) FILTER (current_stage IS NULL) FROM life"""
+    def life_checks(held: str) -> str:
+        return f"""SELECT 'surplus rows' AS check_name, (SELECT count(*) FROM (FROM {held} EXCEPT ALL FROM life)) AS violations UNION ALL SELECT 'missing rows', (SELECT count(*) FROM (FROM life EXCEPT ALL FROM {held}))
+          UNION ALL SELECT 'row count', CAST(abs((SELECT count(*) FROM {held}) - (SELECT count(*) FROM life)) AS BIGINT) UNION ALL SELECT 'order unique', count(*) - count(DISTINCT order_id) FROM {held}
+          UNION ALL SELECT 'start known', count(*) FILTER (order_time IS NULL) FROM {held}
+          UNION ALL SELECT 'lags follow milestones', count(*) FILTER ((pay_lag_hours IS NOT NULL) <> (order_time IS NOT NULL AND pay_time IS NOT NULL) OR (ship_lag_days IS NOT NULL) <> (order_time IS NOT NULL AND ship_time IS NOT NULL) OR (finish_lag_days IS NOT NULL) <> (order_time IS NOT NULL AND finish_time IS NOT NULL)) FROM {held}
+          UNION ALL SELECT 'stage known', count(*) FILTER (current_stage IS NULL) FROM {held}"""
+
+    # A lifecycle that was kept up to date holds what all events say.
+    q["lifecycle_checks"] = f"WITH {LIFE} {life_checks('life')} UNION ALL SELECT 'events unique', CAST(coalesce(sum(n - 1), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM ods_order_event GROUP BY order_id, event_type)"
+    q["lifecycle_checks_behind"] = f"WITH {LIFE}, {LIFE_THEN} {life_checks('held')}"
     marks = [(n, "dt") for n in ("ods_order", "ods_order_event", "dwd_order_sku_detail", "dws_user_order_day", "ads_daily_sales")] + [("ods_product", "snapshot_date")]
     q["recon_watermarks"] = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows, {_day(f'min({c})', 'first_dt')}, {_day(f'max({c})', 'last_dt')} FROM {n}" for n, c in marks)
     close = lambda a, b: f"SELECT {_day('dt')}, expected, actual FROM (SELECT dt, CAST(sum(e) AS BIGINT) AS expected, CAST(sum(a) AS BIGINT) AS actual FROM (SELECT dt, 1 AS e, 0 AS a FROM {a} UNION ALL SELECT dt, 0, 1 FROM {b}) GROUP BY dt) WHERE expected <> actual"
-    q["recon_closure_detail"] = f"WITH {DETAIL} {close('(SELECT DISTINCT dt, order_id FROM ods_order WHERE user_id IS NOT NULL)', 'detail')}"
-    q["recon_closure_sku"] = f"WITH {DETAIL} {close('detail', 'dwd_order_sku_detail')}"
-    q["recon_closure_lifecycle"] = f"WITH {LIFE}, e AS (SELECT DISTINCT dt, order_id FROM ods_order_event WHERE order_id IS NOT NULL) {close('e', '(SELECT e.* FROM e SEMI JOIN life USING (order_id))')}"
+    q["recon_closure_detail"] = f"WITH {DETAIL} {close('ods_order WHERE user_id IS NOT NULL', f"""detail WHERE dt < DATE '{CUT}'""")}"
+    q["recon_closure_sku"] = close("ods_order WHERE user_id IS NOT NULL", "dwd_order_sku_detail")
+    q["recon_bad_days_of_closure"] = f"SELECT * FROM ({q['recon_closure_sku']}) ORDER BY dt LIMIT 10"
+    q["recon_closure_lifecycle"] = f"WITH {LIFE_THEN}, e AS (SELECT DISTINCT dt, order_id FROM ods_order_event WHERE order_id IS NOT NULL) {close('e', '(SELECT e.* FROM e SEMI JOIN held USING (order_id))')}"
     q["recon_symdiff_dws"] = _except("dws_user_order_day", "user_day", _UD, f"user_id, {_day('dt')}, order_cnt, paid_cnt, paid_amount, refund_amount", f"WITH {DETAIL}, {USER_DAY}")
     q["recon_symdiff_ads"] = _except("ads_daily_sales", "sales", _SD, SALES_OUT, f"WITH {_sales('dws_user_order_day')}")
     q["recon_bad_days_topn"] = f"SELECT dt, count(*) AS rows FROM ({q['recon_symdiff_dws']}) GROUP BY dt ORDER BY rows DESC, dt LIMIT 10"
@@ -151,6 +171,12 @@ def oracle_sql() -> dict[str, str]:
     q["recon_date_holes"] = f"{holes('ads_daily_sales', 'dt')} UNION ALL {holes('ods_product', 'snapshot_date')}"
     q["rt_vs_batch_diff"] = f"""SELECT {_day('dt')}, a.net_amount AS "left", b.net_amount AS "right", CAST(coalesce(a.net_amount, 0) - coalesce(b.net_amount, 0) AS DECIMAL(18,2)) AS diff
       FROM ads_daily_sales a FULL JOIN (SELECT dt, max(CAST(net_amount AS DECIMAL(18,2))) AS net_amount FROM ads_daily_sales_wh GROUP BY dt) b USING (dt)"""
+    text = lambda c: f"coalesce('=' || CAST({c} AS VARCHAR), '~')"
+    print_of = {
+        "ods_order": "order_id user_id product_id amount order_time status dt", "ods_product": "product_id product_name category brand price status update_time snapshot_date",
+        "dwd_order_sku_detail": "order_id dt user_id product_id amount order_time status category brand sku_price valid_from valid_to", "dws_user_order_day": _UD.replace(",", ""), "ads_daily_sales": _SD.replace(",", ""),
+    }
+    q["fingerprint_marts"] = " UNION ALL ".join(f"SELECT '{n}' AS table_name, count(*) AS rows, CAST(coalesce(sum(CAST('0x' || md5(concat_ws('|', {', '.join(map(text, c.split()))}))[1:12] AS BIGINT)), 0) AS BIGINT) AS checksum FROM {n}" for n, c in print_of.items())
     q["table_stats"] = f"WITH {DETAIL} SELECT count(*) AS rows, CAST(coalesce(sum(amount), 0) AS DECIMAL(18,2)) AS amount, count(DISTINCT order_id) AS orders FROM detail"
     cols = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
     rest = ", ".join(f"{c} DESC NULLS LAST" for c in ("l_shipdate", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"))

@@ -6,6 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerloom.operators import checks, dims, facts, incremental, recon
 from ledgerloom.plans.pipeline import Step
@@ -15,6 +16,28 @@ from ledgerloom.sources.versioned import VersionedTable
 TABLES = {"ods_order": "dt", "ods_order_event": "dt", "ods_product": "snapshot_date", "dim_product": None, "dim_product_scd2": None, "dwd_order_detail": "dt", "dwd_order_sku_detail": "dt", "dwd_order_lifecycle": None, "dws_user_order_day": "dt", "ads_daily_sales": "dt"}
 
 
+class LifecycleTable:
+    """The accumulating snapshot, stored by the month in which an order was placed: orders with new events were placed lately, so an upsert rewrites few partitions, however long the past."""
+
+    MONTH = "placed_month"
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.held = VersionedTable(spark, root, self.MONTH)
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn(self.MONTH, F.date_format("order_time", "yyyy-MM"))
+
+    def read(self) -> DataFrame:
+        return self.held.read().drop(self.MONTH)
+
+    def rebuild(self, events: DataFrame, update_time: dt.datetime | None = None) -> int:
+        return self.held.replace_all(self._placed(facts.lifecycle(events, update_time=update_time)))
+
+    def advance(self, events: DataFrame, first: facts.Day, last: facts.Day, update_time: dt.datetime | None = None) -> int:
+        """Make the orders with an event in the range anew, from all their events, and put them in place of what is held of them."""
+        return self.held.upsert(self._placed(facts.lifecycle(events, facts.scope_orders(events, first, last), update_time)), ["order_id"])
+
+
 class Warehouse:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark = spark
