@@ -14,7 +14,7 @@ from ledgerloom.operators.history import history_from_snapshots
 from ledgerloom.operators.profile import profile_loads
 from ledgerloom.operators.snapdiff import snapshot_changes
 from ledgerloom.sources.tables import table
-from ledgerloom.streaming.redelivery import deliveries, one_copy, repeated
+from ledgerloom.streaming.redelivery import NO_TIME, Deliveries, deliveries, one_copy, repeated
 
 #: Attributes of a product whose change makes a new version.
 TRACKED = ("product_name", "category", "brand", "price", "status")
@@ -95,36 +95,45 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(~(F.col("category").eqNullSafe(F.col("right_category")) & F.col("sku_price").eqNullSafe(F.col("right_price")))).select("order_id")
 
 
-#: Input of one micro-batch of the event stream.
+#: Input of one micro-batch of the event stream, if the table has more than one file; a file isn't split.
 BATCH_BYTES = 64 << 20
+MESSAGE = ("order_id", "event_type")
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ods_order_event as a stream of files in the order in which they were written, with event types in one spelling."""
-    schema = table(spark, sf_dir, "ods_order_event").schema
+def _with_identifier(events: DataFrame) -> DataFrame:
+    """Messages with an identifier, event types in one spelling."""
+    return events.withColumn("event_type", F.lower(F.trim("event_type"))).filter("order_id IS NOT NULL AND event_type IS NOT NULL")
+
+
+def event_deliveries(spark: SparkSession, sf_dir: str, payload: Column | None = None, batch_bytes: int = BATCH_BYTES) -> Deliveries:
+    """ods_order_event as a stream of files in the order in which they were written."""
+    batch = table(spark, sf_dir, "ods_order_event")
     path = f"{sf_dir}/ods_order_event[.]parquet"  # a pattern, so that it may be a single file
-    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", str(BATCH_BYTES)).parquet(path)
-    return stream.withColumn("event_type", F.lower(F.trim("event_type"))).filter("order_id IS NOT NULL AND event_type IS NOT NULL")
+    stream = spark.readStream.schema(batch.schema).option("maxBytesPerTrigger", str(batch_bytes)).parquet(path)
+    return deliveries(_with_identifier(stream), _with_identifier(batch), MESSAGE, "event_time", payload)
 
 
 def p6_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One message for each order and event type."""
-    stream = event_stream(spark, sf_dir)
-    fields = ["user_id", "product_id", "amount", "order_time", "dt"]
-    payload = F.to_json(F.struct(*fields))
-    kept = one_copy(deliveries(stream, ["order_id", "event_type"], "event_time", payload), ["order_id", "event_type"])
-    parsed = F.from_json("p", "user_id bigint, product_id bigint, amount decimal(10,2), order_time timestamp_ntz, dt date")
-    return kept.select("order_id", "event_type", F.when(F.col("t") > -(1 << 61), F.timestamp_micros("t").cast("timestamp_ntz")).alias("event_time"), parsed.alias("m"), "copies").select("order_id", "event_type", "event_time", "m.*", "copies")
+    """One message for each order and event type: the earliest, of equally early ones the one with the smallest other values, nulls first."""
+    kinds = {"user_id": "bigint", "product_id": "bigint", "amount": "decimal(10,2)", "order_time": "timestamp_ntz", "dt": "date"}
+    # As text that sorts as the values do: numbers padded, a mark before what isn't null.
+    padded = {"bigint": lambda c: F.lpad(c.cast("string"), 20, "0"), "decimal(10,2)": lambda c: F.lpad((c * 100 + 10**11).cast("decimal(14,0)").cast("string"), 20, "0")}
+    each = [F.coalesce(F.concat(F.lit("1"), padded.get(k, lambda c: c.cast("string"))(F.col(c))), F.lit("0")) for c, k in kinds.items()]
+    values = F.to_json(F.struct(*kinds))
+    kept = one_copy(event_deliveries(spark, sf_dir, F.concat_ws("\t", *each, values)))
+    parsed = F.from_json(F.element_at(F.split("p", "\t"), -1), ", ".join(f"{c} {k}" for c, k in kinds.items()))
+    time = F.when(F.col("t") > NO_TIME, F.timestamp_micros("t").cast("timestamp_ntz"))
+    return kept.select(*MESSAGE, time.alias("event_time"), parsed.alias("m"), "copies").select(*MESSAGE, "event_time", "m.*", "copies")
 
 
 def p6_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many copies of each message came."""
-    return one_copy(deliveries(event_stream(spark, sf_dir), ["order_id", "event_type"], "event_time"), ["order_id", "event_type"]).select("order_id", "event_type", "copies")
+    return one_copy(event_deliveries(spark, sf_dir)).select(*MESSAGE, "copies")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers that were delivered on more than one row."""
-    return repeated(deliveries(event_stream(spark, sf_dir), ["order_id", "event_type"], "event_time"), ["order_id", "event_type"])
+    return repeated(event_deliveries(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

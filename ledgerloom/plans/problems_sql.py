@@ -107,9 +107,12 @@ P5_FOUND = f"SELECT d.order_id FROM {_AT} WHERE d.category IS DISTINCT FROM v.ca
 
 _ID = "order_id, lower(trim(event_type)) AS event_type"
 P6_FOUND = f"SELECT {_ID} FROM ods_order_event WHERE order_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL HAVING count(*) > 1"
-#: How many messages came is known for each identifier; which copy is kept depends on the batches, so the kept copy's own values are tested apart.
 P6_COPIES = f"SELECT {_ID}, count(*) AS copies FROM ods_order_event WHERE order_id IS NOT NULL AND event_type IS NOT NULL GROUP BY ALL"
+P6_MESSAGES = f"""
+SELECT {_ID}, event_time, user_id, product_id, amount, order_time, dt, count(*) OVER (PARTITION BY order_id, lower(trim(event_type))) AS copies FROM ods_order_event WHERE order_id IS NOT NULL AND event_type IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY order_id, lower(trim(event_type)) ORDER BY event_time NULLS LAST, user_id NULLS FIRST, product_id NULLS FIRST, amount NULLS FIRST, order_time NULLS FIRST, dt NULLS FIRST) = 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": p1_found(), "p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p3_found": P3_FOUND, "p3_history": P3_HISTORY, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_attributes": P5_ATTRIBUTES, "p6_found": P6_FOUND, "p6_copies": P6_COPIES}
+    return {"p1_found": p1_found(), "p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p3_found": P3_FOUND, "p3_history": P3_HISTORY, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_attributes": P5_ATTRIBUTES, "p6_found": P6_FOUND, "p6_copies": P6_COPIES, "p6_messages": P6_MESSAGES}

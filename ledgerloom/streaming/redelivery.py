@@ -1,188 +1,117 @@
-"""Messages delivered more than once: one copy of each, from a stream with a keyed state store."""
+"""Messages delivered more than once: one copy of each, from a stream with a keyed state store.
+
+The state store is Spark's own, with one value for each identifier, on the JVM: an identifier is held from its first message until the watermark has
+passed that message's event time by the delay, and then forgotten. State, offsets and the accepted messages are committed together,
+batch by batch. Whatever the state didn't accept is looked up afterwards among all that was accepted.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Sequence
+from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ledgerloom.functions.exprs import hash_pair
 from ledgerloom.plans.scratch import new_path
 
-#: What the state could say of an identifier in a micro-batch.
+#: What is known of a message: the state accepted it; an accepted one has its identifier; the state couldn't accept it (older than the watermark, or without a time) and no accepted one has its identifier.
 NEW, SEEN, ASK = 0, 1, 2
-#: Bits that a forgotten identifier sets, and bits a filter has for each; one in about 400 unknown identifiers is then asked for in vain.
-PROBES, BITS_PER_ID = 4, 20
-#: Event time of messages without one, below any watermark.
+#: Event time of messages without one.
 NO_TIME = -(1 << 62)
-
-
-class Seen:
-    """Identifiers of one bucket: those within the watermark exactly, those forgotten as Bloom filters."""
-
-    def __init__(self, blob: tuple[Any, ...] | None) -> None:
-        empty = np.zeros(0, dtype=np.int64)
-        if blob is None:
-            self.a, self.b, self.until, self.filters = empty, empty, empty, []
-        else:
-            n = len(blob[0]) // 8
-            self.a, self.b, self.until = (np.frombuffer(x, dtype=np.int64, count=n) for x in blob[:3])
-            self.filters = [np.frombuffer(x, dtype=np.uint8).copy() for x in blob[3]]
-        self.fill: list[int] = list(blob[4]) if blob else []
-
-    def blob(self) -> tuple[Any, ...]:
-        return (self.a.tobytes(), self.b.tobytes(), self.until.tobytes(), [x.tobytes() for x in self.filters], self.fill)
-
-    def place(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Where each identifier is, or -1."""
-        at = np.searchsorted(self.a, a)
-        out = np.full(len(a), -1, dtype=np.int64)
-        todo = np.arange(len(a))
-        while len(todo):
-            todo = todo[at[todo] < len(self.a)]
-            todo = todo[self.a[at[todo]] == a[todo]]
-            hit = self.b[at[todo]] == b[todo]
-            out[todo[hit]] = at[todo[hit]]
-            todo = todo[~hit]
-            at[todo] += 1
-        return out
-
-    def _bits(self, a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
-        x, y = a.astype(np.uint64), b.astype(np.uint64) | np.uint64(1)
-        return np.stack([(x + np.uint64(i) * y) % np.uint64(size * 8) for i in range(PROBES)])
-
-    def forgotten(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether each identifier may have been forgotten; never False for one that was."""
-        out = np.zeros(len(a), dtype=bool)
-        for f in self.filters:
-            bits = self._bits(a, b, len(f))
-            out |= ((f[bits >> np.uint64(3)] >> (bits & np.uint64(7)).astype(np.uint8)) & 1).all(axis=0)
-        return out
-
-    def expire(self, watermark: int) -> None:
-        old = self.until < watermark
-        n = int(old.sum())
-        if not n:
-            return
-        if not self.filters or self.fill[-1] + n > len(self.filters[-1]) * 8 // BITS_PER_ID:
-            # Each filter is twice as large as the one before: few filters, whatever the number of identifiers.
-            size = max(1024, 2 * len(self.filters[-1]) if self.filters else 0, -(-n * BITS_PER_ID // 8))
-            self.filters.append(np.zeros(size, dtype=np.uint8))
-            self.fill.append(0)
-        bits = self._bits(self.a[old], self.b[old], len(self.filters[-1])).ravel()
-        np.bitwise_or.at(self.filters[-1], bits >> np.uint64(3), np.uint8(1) << (bits & np.uint64(7)).astype(np.uint8))
-        self.fill[-1] += n
-        self.a, self.b, self.until = self.a[~old], self.b[~old], self.until[~old]
-
-    def add(self, a: np.ndarray, b: np.ndarray, until: np.ndarray) -> None:
-        a, b, until = (np.concatenate(x) for x in ((self.a, a), (self.b, b), (self.until, until)))
-        order = np.argsort(a, kind="stable")
-        self.a, self.b, self.until = a[order], b[order], until[order]
-
-
-def _merge(frame: pd.DataFrame) -> pd.DataFrame:
-    """One row per identifier: its best copy and the number of all."""
-    if not len(frame):
-        return frame
-    frame = frame.sort_values(["a", "b", "t", "p"], kind="stable", na_position="last")
-    other = np.ones(len(frame), dtype=bool)
-    other[1:] = (frame["a"].to_numpy()[1:] != frame["a"].to_numpy()[:-1]) | (frame["b"].to_numpy()[1:] != frame["b"].to_numpy()[:-1])
-    begins = np.flatnonzero(other)
-    out = frame.iloc[begins].copy()
-    out["n"] = np.add.reduceat(frame["n"].to_numpy(), begins)
-    out["u"] = np.maximum.reduceat(frame["u"].to_numpy(), begins)
-    return out
-
-
-def _premerge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        yield _merge(frame)
+#: State is kept on disk, in bounded memory, with a log of changes, so that a batch writes what it changed and not what there is.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "400",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+@dataclass(frozen=True)
+class Deliveries:
+    """Every message of a stream, once: those that the state store accepted, and the rest. Both (identifier..., t, p): event time in microseconds (NO_TIME: none) and payload."""
+
+    identifier: tuple[str, ...]
+    accepted: DataFrame
+    rest: DataFrame
+
+    def told(self) -> DataFrame:
+        """(identifier..., t, p, verdict) of every message; of those not accepted by lookup among all that was accepted, of whatever age. An identifier asks once, however often it came."""
+        keys = list(self.identifier)
+        known = self.rest.select(keys).distinct().join(self.accepted.select(keys).distinct(), keys, "left_semi").withColumn("known", F.lit(True))
+        looked_up = self.rest.join(known, keys, "left").withColumn("verdict", F.when(F.col("known"), SEEN).otherwise(ASK)).drop("known")
+        return self.accepted.withColumn("verdict", F.lit(NEW)).unionByName(looked_up)
+
+
+def _keyed(messages: DataFrame, identifier: Sequence[str], event_time: str, payload: Column | None) -> DataFrame:
+    """(identifier..., t, p, file, row): file and row are the place at which a message was delivered, the same whenever and by whomever its file is read."""
+    time = F.coalesce(F.unix_micros(F.col(f"`{event_time}`").cast("timestamp")), F.lit(NO_TIME))
+    place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    return messages.select(*[F.col(f"`{c}`") for c in identifier], time.alias("t"), (payload if payload is not None else F.lit(None)).cast("string").alias("p"), *place)
 
 
 def deliveries(
-    messages: DataFrame, identifier: Sequence[str], event_time: str, payload: Column | None = None, delay: str = "10 days", buckets: int | None = None, checkpoint: str | None = None,
-) -> DataFrame:
-    """Run the stream to its present end and return the state store's account of it: (identifier..., p, t, n, verdict), exactly once.
-
-    messages: a streaming frame without null identifiers. Each micro-batch is reduced to one row per identifier in every input block, then dealt to buckets of
-    identifiers; each bucket's state holds its identifiers until the watermark (latest event time of earlier batches less `delay`) passes their latest
-    event time plus `delay`, and Bloom filters of the ones it let go. State, offsets and output files of a batch are committed together; a batch
-    that was cut off is redone to the same effect. A row says of one identifier in one micro-batch: n copies came, of which the one with the
-    earliest event time (then smallest payload) has time t and payload p; verdict NEW: never seen before, SEEN: in the state, ASK: the state
-    can't tell, because the message is older than the watermark, has no time or may have been let go.
+    stream: DataFrame, batch: DataFrame, identifier: Sequence[str], event_time: str, payload: Column | None = None, delay: str = "10 days", buckets: int | None = None, checkpoint: str | None = None,
+) -> Deliveries:
+    """Run the stream to its present end and return what became of its messages.
+
+    stream: a streaming frame over Parquet files, without null identifiers. batch: the same rows as a batch frame, made before the stream runs, so that it has no file which the stream lacks.
+    The state store accepts a message if it holds none of its identifier; it holds an identifier until the watermark (latest event time of earlier batches less `delay`) has passed its event time
+    by `delay`. Messages that came too late for the state or have no event time aren't accepted and aren't lost: they are in the rest, as are copies. An identifier that was forgotten may be accepted
+    again; one_copy and repeated() see that.
+    A stream that is started again with its `checkpoint` goes on where it ended, whatever the session's settings are by then, as the number of state partitions (`buckets`, by default
+    spark.sql.shuffle.partitions at the first start) is part of the checkpoint. A batch that was cut off is redone to the same effect.
     """
-    spark = messages.sparkSession
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    spark = stream.sparkSession
     base = checkpoint or new_path(spark, "deliveries")
-    slack = int(spark.sql(f"SELECT CAST(unix_micros(TIMESTAMP'2000-01-01' + INTERVAL {delay}) - unix_micros(TIMESTAMP'2000-01-01') AS BIGINT)").first()[0])
-    h1, h2 = hash_pair([F.col(f"`{c}`") for c in identifier])
-    time = F.coalesce(F.unix_micros(F.col(f"`{event_time}`").cast("timestamp")), F.lit(NO_TIME))
-    ids = [f"id{i}" for i in range(len(identifier))]
-    keyed = messages.select(
-        h1.alias("a"), h2.alias("b"), *[F.col(f"`{c}`").alias(x) for x, c in zip(ids, identifier)],
-        time.alias("t"), time.alias("u"), (payload if payload is not None else F.lit("")).cast("string").alias("p"), F.lit(1).cast("bigint").alias("n"),
-    )
-    fields = keyed.schema.fields
-    merged = keyed.mapInPandas(_premerge, keyed.schema).withColumns({"bucket": F.pmod(F.col("b"), F.lit(buckets)), "clock": F.when(F.col("u") > NO_TIME, F.timestamp_micros("u"))}).withWatermark("clock", delay)
-    out_schema = T.StructType([f for f in fields if f.name != "u"] + [T.StructField("verdict", T.IntegerType())])
-    state_schema = "a binary, b binary, until binary, filters array<binary>, fill array<bigint>"
-    order = out_schema.names
-
-    def judge(_: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        rows = _merge(pd.concat(list(frames), ignore_index=True))
-        watermark = state.getCurrentWatermarkMs() * 1000
-        seen = Seen(state.get if state.exists else None)
-        a, b, t, u = (rows[c].to_numpy() for c in ("a", "b", "t", "u"))
-        at = seen.place(a, b)
-        known = at >= 0
-        if known.any():
-            until = seen.until.copy()
-            np.maximum.at(until, at[known], u[known] + slack)
-            seen.until = until
-        ask = ~known & ((t < watermark) | seen.forgotten(a, b))
-        new = ~known & ~ask
-        seen.add(a[new], b[new], u[new] + slack)
-        seen.expire(watermark)
-        state.update(seen.blob())
-        rows["verdict"] = np.where(known, SEEN, np.where(ask, ASK, NEW)).astype(np.int32)
-        yield rows[order]
-
-    judged = merged.groupBy("bucket").applyInPandasWithState(judge, out_schema, state_schema, "append", "NoTimeout")
-    query = judged.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
-    told = spark.read.schema(out_schema).parquet(f"{base}/out") if _any_output(spark, f"{base}/out") else spark.createDataFrame([], out_schema)
-    return told.withColumnsRenamed(dict(zip(ids, identifier)))
-
-
-def _any_output(spark: Any, path: str) -> bool:
+    timed = _keyed(stream, identifier, event_time, payload).filter(F.col("t") > NO_TIME)
+    first = timed.withColumn("clock", F.timestamp_micros("t")).withWatermark("clock", delay).dropDuplicatesWithinWatermark(list(identifier)).drop("clock")
+    with _set(spark, STATE_SETTINGS | ({"spark.sql.shuffle.partitions": str(buckets)} if buckets else {})):
+        first.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    accepted = spark.read.schema(first.schema).parquet(f"{base}/out") if _any_output(spark, f"{base}/out") else spark.createDataFrame([], first.schema)
+    rest = _keyed(batch, identifier, event_time, payload).join(accepted.select("file", "row"), ["file", "row"], "left_anti")
+    return Deliveries(tuple(identifier), accepted.drop("file", "row"), rest.drop("file", "row"))
+
+
+class _set:
+    """Settings of a session for a while."""
+
+    def __init__(self, spark: SparkSession, settings: dict[str, str]) -> None:
+        self.spark, self.settings = spark, settings
+
+    def __enter__(self) -> None:
+        self.held = {k: self.spark.conf.get(k, None) for k in self.settings}
+        for k, v in self.settings.items():
+            self.spark.conf.set(k, v)
+
+    def __exit__(self, *_: object) -> None:
+        for k, v in self.held.items():
+            self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
+
+
+def _any_output(spark: SparkSession, path: str) -> bool:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.exists(p) and any(not x.getPath().getName().startswith("_") for x in fs.listStatus(p))
 
 
-def one_copy(told: DataFrame, identifier: Sequence[str]) -> DataFrame:
-    """(identifier..., p, t, copies): one row for each identifier of deliveries(), copies: all that came.
+def one_copy(d: Deliveries) -> DataFrame:
+    """(identifier..., p, t, copies): one row for each identifier: of all its copies the one with the earliest event time, none being latest, then the smallest payload, null first; copies: all that came.
 
-    What the state couldn't tell is looked up: rows with verdict ASK are joined by identifier with all that was accepted. Found there, they are copies of it; else
-    the earliest of them is the identifier's message, late but not lost.
+    Which copy is kept doesn't depend on batches or on what the state held. Copies are reduced before they move, so an identifier that came any number of times is a row a task.
     """
-    again = told.filter(F.col("verdict") != NEW).select("a", "b").distinct()
-    single = told.filter(F.col("verdict") == NEW).join(again, ["a", "b"], "left_anti").select(*identifier, "p", "t", F.col("n").alias("copies"))
-    first = F.min_by(F.struct(*identifier, "p", "t"), F.struct(F.col("verdict") == ASK, "t", "p"))
-    several = told.join(again, ["a", "b"], "left_semi").filter(F.col("verdict") != SEEN).groupBy("a", "b").agg(first.alias("m"))
-    copies = told.join(again, ["a", "b"], "left_semi").groupBy("a", "b").agg(F.sum("n").alias("copies"))
-    return single.unionByName(several.join(copies, ["a", "b"]).select("m.*", "copies"))
-
-
-def repeated(told: DataFrame, identifier: Sequence[str]) -> DataFrame:
-    """(identifier...): those of deliveries() that came on more than one row; asked ones are looked up among all that was accepted."""
-    sure = told.filter((F.col("n") > 1) | (F.col("verdict") == SEEN)).select("a", "b", *identifier)
-    ask = told.filter(F.col("verdict") == ASK).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in identifier], F.count("*").alias("times"))
-    accepted = told.filter(F.col("verdict") == NEW).select("a", "b")
-    looked_up = ask.filter("times > 1").drop("times").unionByName(ask.filter("times = 1").drop("times").join(accepted, ["a", "b"], "left_semi"))
-    return sure.unionByName(looked_up).groupBy("a", "b").agg(*[F.first(c).alias(c) for c in identifier]).select(*identifier)
+    best = F.min(F.struct((F.col("t") == NO_TIME).alias("none"), F.col("t").alias("t"), F.col("p").alias("p")))
+    kept = d.accepted.unionByName(d.rest).groupBy(*d.identifier).agg(best.alias("m"), F.count("*").alias("copies"))
+    return kept.select(*d.identifier, "m.p", "m.t", "copies")
+
+
+def repeated(d: Deliveries) -> DataFrame:
+    """(identifier...): those that came on more than one row: not accepted more than once, accepted again after they had been forgotten, or not accepted once and found among all that was accepted."""
+    keys = list(d.identifier)
+    rest = d.rest.groupBy(*keys).agg(F.count("*").alias("n"))
+    # The lookup: each identifier of the rest, counted, meets the accepted messages of that identifier.
+    both = rest.withColumn("taken", F.lit(0)).unionByName(d.accepted.select(*keys, F.lit(0).cast("bigint").alias("n"), F.lit(1).alias("taken")))
+    return both.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("taken").alias("taken")).filter((F.col("n") > 1) | (F.col("taken") > 1) | ((F.col("n") > 0) & (F.col("taken") > 0))).select(*keys)
