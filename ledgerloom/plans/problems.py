@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.exprs import day
 from ledgerloom.operators.asof import attributes_at
 from ledgerloom.operators.copydiff import diff_copies
-from ledgerloom.operators.history import history_from_snapshots
+from ledgerloom.operators.history import HeldHistory, bits_for, history_from_snapshots
 from ledgerloom.operators.profile import profile_loads
 from ledgerloom.operators.snapdiff import snapshot_changes
+from ledgerloom.plans.scratch import new_path
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming.redelivery import NO_TIME, Deliveries, deliveries, one_copy, repeated
 
@@ -72,6 +73,20 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides.select(*keys, F.when(F.col("lo") == 1, "snapshots").otherwise("dim").alias("side"))
 
 
+def p3_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same history, held and grown: from the snapshots of the first half of the days, then from all others at once, then with one day of the first half delivered again."""
+    rows = table(spark, sf_dir, "ods_product").select("product_id", "snapshot_date", "update_time", *TRACKED)
+    days = [r[0] for r in rows.select("snapshot_date").filter("snapshot_date IS NOT NULL").distinct().orderBy("snapshot_date").collect()]
+    held = HeldHistory(spark, new_path(spark, "history"), "product_id", "snapshot_date", "update_time", TRACKED, leaf_bits=bits_for(rows.agg(F.approx_count_distinct("product_id")).first()[0]))
+    half = len(days) // 2
+    # The day that comes again later is told at first without its prices.
+    spoiled = rows.withColumn("price", F.when(F.col("snapshot_date") != F.lit(str(days[half // 2])).cast("date"), F.col("price"))) if days else rows
+    held.add(spoiled, days[:half])
+    held.add(spoiled, days[half:])
+    held.add(rows, days[half // 2 : half // 2 + 1])
+    return held.read().select("product_id", day(F.col("valid_from")).alias("valid_from"), day(F.col("valid_to")).alias("valid_to"), F.col("is_current").cast("bigint").alias("is_current"), *TRACKED)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products added, removed and changed from each delivered snapshot to the next."""
     changes = snapshot_changes(table(spark, sf_dir, "ods_product"), "product_id", "snapshot_date", "update_time", TRACKED)
@@ -137,4 +152,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_history, p4_found, p5_found, p5_attributes, p6_found, p6_copies, p6_messages)}
+    return {f.__name__: f for f in (p1_found, p2_found, p2_profile, p3_found, p3_history, p3_appended, p4_found, p5_found, p5_attributes, p6_found, p6_copies, p6_messages)}

@@ -115,4 +115,4 @@ QUALIFY row_number() OVER (PARTITION BY order_id, lower(trim(event_type)) ORDER
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": p1_found(), "p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p3_found": P3_FOUND, "p3_history": P3_HISTORY, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_attributes": P5_ATTRIBUTES, "p6_found": P6_FOUND, "p6_copies": P6_COPIES, "p6_messages": P6_MESSAGES}
+    return {"p1_found": p1_found(), "p2_found": P2_FOUND, "p2_profile": P2_PROFILE, "p3_found": P3_FOUND, "p3_history": P3_HISTORY, "p3_appended": P3_HISTORY, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_attributes": P5_ATTRIBUTES, "p6_found": P6_FOUND, "p6_copies": P6_COPIES, "p6_messages": P6_MESSAGES}

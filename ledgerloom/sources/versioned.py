@@ -228,6 +228,11 @@ class VersionedTable:
         touched = self._touched(_matching(self.read(), df, keys, "left_semi"))
         return self._rewrite(touched, lambda old: _matching(old, df, keys, "left_anti"), "delete keys") if touched else self.manifest()["version"]
 
+    def replace_keys(self, keyed: DataFrame, keys: Sequence[str], rows: DataFrame) -> int:
+        """Rows with these keys go and `rows` come in their place, in one commit; only partitions that hold such keys or get rows are rewritten."""
+        touched = self._touched(_matching(self.read(), keyed, keys, "left_semi")) | self._touched(rows)
+        return self._rewrite(touched, lambda old: _matching(old, keyed, keys, "left_anti"), "replace keys", rows)
+
     def update_where(self, condition: Column, values: Mapping[str, Column]) -> int:
         """Set columns of the rows for which the condition is true."""
         if self.partition in values:

@@ -5,7 +5,7 @@ import pytest
 
 from ledgerloom.operators.asof import attributes_at
 from ledgerloom.operators.dims import TRACKED_3, TRACKED_5, current_from_scd2, scd1_latest, scd2_full, scd2_incremental
-from ledgerloom.operators.history import history_from_snapshots
+from ledgerloom.operators.history import HeldHistory, bitmap, history_from_snapshots, in_bitmap
 from ledgerloom.operators.snapdiff import snapshot_changes
 
 SCHEMA = "product_id bigint, product_name string, category string, brand string, price decimal(10,2), status string, update_time timestamp_ntz, snapshot_date date"
@@ -81,6 +81,53 @@ def test_merkle_history_equals_brute_force_and_windows(frame, seed, leaf):
         assert out(scd2_full(df, "product_id", "snapshot_date", TRACKED_5)) == {x for x in brute_history(rows) if x[0] is not None}
 
 
+def test_attributes_in_groups_of_snapshots(frame):
+    """With a bitmap for one start only every snapshot is a group of its own."""
+    rows = no_ties(snapshots(4))
+    assert out(history_from_snapshots(frame(SCHEMA, rows), "product_id", "snapshot_date", "update_time", TRACKED_5, most=1)) == brute_history(rows)
+
+
+def test_bitmap_loses_no_hash(spark):
+    hashes = spark.range(5_000).selectExpr("xxhash64(id) AS h", "id")
+    marked, bits = bitmap(hashes.filter("id < 1000"), "h", 1_000)
+    kept = {r.id for r in in_bitmap(hashes, "h", marked, bits).collect()}
+    assert kept >= set(range(1_000)) and len(kept) < 1_500
+    few, bits = bitmap(hashes.filter("id < 1000"), "h", 1)
+    assert bits == 12 and {r.id for r in in_bitmap(hashes, "h", few, bits).collect()} >= set(range(1_000))
+    assert in_bitmap(hashes, "h", *bitmap(hashes.limit(0), "h", 0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_held_history_grows_as_the_full_one(spark, frame, tmp_path, seed):
+    rows = no_ties(snapshots(seed))
+    h = HeldHistory(spark, f"file://{tmp_path}/h", "product_id", "snapshot_date", "update_time", TRACKED_5, leaf_bits=5)
+    days = sorted({r[7] for r in rows})
+    for upto in (3, 4, 7, len(days)):
+        come = [r for r in rows if r[7] in days[:upto]]
+        h.add(frame(SCHEMA, come))
+        assert out(h.read()) == brute_history(come)
+    before = [s["version"] for s in h.starts.snapshots()]
+    assert h.add(frame(SCHEMA, rows)) == {"leaves": 0, "starts": 0} and [s["version"] for s in h.starts.snapshots()] == before
+    assert {s["operation"] for s in h.starts.snapshots()} == {"append"}
+    # One product's row of an earlier day comes again with other values, another vanishes from that day, and a day between two held ones is delivered at last.
+    changed = [(*r[:2], "other", *r[3:]) if (r[0], r[7]) == (3, days[2]) else r for r in rows if (r[0], r[7]) != (4, days[2])]
+    told = h.add(frame(SCHEMA, changed), [days[2]])
+    assert out(h.read()) == brute_history(changed) and 0 < told["leaves"] <= 2
+    late = [*changed, *[(*r[:6], at(D[3]), D[3]) for (_, d), r in latest(changed).items() if d == days[0]]]
+    h.add(frame(SCHEMA, late))
+    assert out(h.read()) == brute_history(late)
+
+
+def test_held_history_reads_attributes_of_changed_leaves_only(spark, frame, tmp_path):
+    rows = [(p, "n", "a", None, 1, "on", at(d), d) for d in D[:2] for p in range(200)]
+    h = HeldHistory(spark, f"file://{tmp_path}/h", "product_id", "snapshot_date", "update_time", TRACKED_5, leaf_bits=8)
+    assert h.add(frame(SCHEMA, rows))["starts"] == 200
+    more = rows + [(p, "n", "b" if p == 7 else "a", None, 1, "on", at(D[2]), D[2]) for p in range(200)]
+    assert h.add(frame(SCHEMA, more)) == {"leaves": 1, "starts": 1}
+    assert h.read().filter("product_id = 7").count() == 2
+    assert HeldHistory(spark, f"file://{tmp_path}/e", "product_id", "snapshot_date", "update_time", TRACKED_5).add(frame(SCHEMA)) == {"leaves": 0, "starts": 0}
+
+
 @pytest.mark.parametrize("cut", [1, 3, 6])
 def test_incremental_equals_full(frame, cut):
     rows = [r for r in no_ties(snapshots(5)) if r[0] is not None]
