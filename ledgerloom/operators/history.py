@@ -10,13 +10,12 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.exprs import OPEN_END, differs, hash_pair
 from ledgerloom.operators.snapdiff import latest_hashes
+from ledgerloom.plans.joins import LOAD, MAP_BITS, bitmap, in_bitmap
 from ledgerloom.plans.scratch import written
 from ledgerloom.sources.versioned import VersionedTable
 
 #: Each branch of the tree has 2**FANOUT_BITS children.
 FANOUT_BITS = 4
-#: A bitmap of hashes has at most 2**MAP_BITS bits, 16 MB, whatever it marks: it may be broadcast. It has LOAD bits for each hash it marks, if that is within the bound.
-MAP_BITS, LOAD = 27, 16
 
 
 def _leaf(key: Column, leaf_bits: int) -> Column:
@@ -70,22 +69,6 @@ def _identified(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"i1": i1, "i2": i2})
 
 
-def bitmap(hashes: DataFrame, column: str, n: int) -> tuple[DataFrame, int]:
-    """(block, words) and the number of bits: which hashes occur, as blocks of 4,096 bits; n: how many there are. No more than 2**MAP_BITS bits in all."""
-    bits = min(MAP_BITS, max(12, (LOAD * max(1, n) - 1).bit_length()))
-    at = hashes.select((F.col(column).bitwiseAND(F.lit((1 << bits) - 1))).alias("bit"))
-    words = at.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63 AS INT))")).alias("v"))
-    held = words.groupBy(F.shiftright("word", 6).alias("block")).agg(F.map_from_entries(F.collect_list(F.struct((F.col("word") % 64).cast("int"), "v"))).alias("m"))
-    return held.select("block", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0).cast("bigint"))).alias("words")), bits
-
-
-def in_bitmap(rows: DataFrame, column: str, marked: DataFrame, bits: int) -> DataFrame:
-    """The rows whose hash may be marked; none that is marked is lost."""
-    bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    hit = F.expr(f"shiftrightunsigned(words[CAST((({column} & {(1 << bits) - 1}) >> 6) & 63 AS INT)], CAST({column} & 63 AS INT)) & 1 = 1")
-    return rows.withColumn("block", F.shiftright(bit, 12)).join(F.broadcast(marked), "block").filter(hit).drop("block", "words")
-
-
 def _with_attributes(delivered: DataFrame, starts: DataFrame, key: str, snapshot: str, version: str, tracked: Sequence[str], most: int = (1 << MAP_BITS) // LOAD) -> DataFrame:
     """(k, s, top, i1, i2, attrs) of every start. starts: written, identified.
 

@@ -5,8 +5,9 @@ import pytest
 
 from ledgerloom.operators.asof import attributes_at
 from ledgerloom.operators.dims import TRACKED_3, TRACKED_5, current_from_scd2, scd1_latest, scd2_full, scd2_incremental
-from ledgerloom.operators.history import HeldHistory, bitmap, history_from_snapshots, in_bitmap
+from ledgerloom.operators.history import HeldHistory, history_from_snapshots
 from ledgerloom.operators.snapdiff import snapshot_changes
+from ledgerloom.plans.joins import bitmap, in_bitmap
 
 SCHEMA = "product_id bigint, product_name string, category string, brand string, price decimal(10,2), status string, update_time timestamp_ntz, snapshot_date date"
 D = [dt.date(2024, 1, i) for i in range(1, 10)]
