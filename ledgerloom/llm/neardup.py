@@ -1,127 +1,240 @@
-"""Near-duplicates by SimHash and trigrams."""
+"""Near-duplicates by partitioned SimHash tables and trigrams, and the labels that spread over them."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.joins import BROADCAST_ROWS
+from ledgerloom.plans.joins import bitmap, in_bitmap, small
 from ledgerloom.plans.scratch import written
 
-#: A SimHash of 64 bits is cut into so many blocks; a table for each block. Two values with a distance below that number agree in some table for certain.
-BLOCKS = 8
-WIDTH = 64 // BLOCKS
+#: A SimHash has 128 bits, of which each table takes a block of 16 as its key. Who asks looks up, in each table, its own key and those that differ from it in one or two of its UNSURE least certain bits.
+BITS, TABLES, UNSURE = 128, 8, 7
+WIDTH = BITS // TABLES
 GRAM = 3
-#: Characters that one broadcast block of asking texts may hold on average.
-BROADCAST_CHARS = 32 << 20
+#: Trigrams worked on at a time.
+CHUNK = 1 << 19
+#: Rows of a table under one key from which on they are dealt to pieces, each of so many.
+HOT_KEY = 500_000
+#: Of those who ask under one key about so many go first; the others meet only the rows that these left unlabelled.
+FIRST = 8
+
+#: For each value of a byte a number with one byte for each of its bits, so that eight counters are added at once.
+_SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).view(np.uint64).ravel()
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """splitmix64: every bit of the result depends on every bit of the input."""
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all character trigrams, and for each the number of its text. A text shorter than that is padded with blanks."""
-    padded = [f" {t} " if len(t) > 0 else "   " for t in texts]
+    """Hashes of all character trigrams of the padded texts, text after text, and how many each has. A text shorter than that is padded with blanks."""
+    padded = [f" {t} " if t else "   " for t in texts]
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
     length = np.array([len(t) for t in padded])
-    owner = np.repeat(np.arange(len(texts)), length)
     h = np.zeros(max(0, len(codes) - GRAM + 1), dtype=np.uint64)
     for i in range(GRAM):
         h = h * np.uint64(1_000_003) + codes[i : len(codes) - GRAM + 1 + i]
-    inside = owner[: len(h)] == owner[GRAM - 1 :]
-    h, owner = h[inside], owner[: len(h)][inside]
-    # splitmix64, so that every bit of the hash depends on every character
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31)), owner
+    inside = np.ones(len(h), dtype=bool)
+    ends = np.cumsum(length)[:-1]
+    for i in range(1, GRAM):
+        inside[ends - i] = False
+    return _mixed(h[inside]), length - GRAM + 1
+
+
+def margins(texts: list[str]) -> np.ndarray:
+    """For each text and bit, how many trigrams have the bit less how many haven't, (texts, BITS); the SimHash is its sign."""
+    out = np.zeros((len(texts), BITS), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        end, n = at, 0
+        while end < len(texts) and (end == at or n + len(texts[end]) <= CHUNK):
+            n += len(texts[end])
+            end += 1
+        h, count = _grams(texts[at:end])
+        # Segments of at most 255 trigrams, so that no counter of a byte overflows.
+        per = -(-count // 255)
+        owner = np.repeat(np.arange(end - at), per)
+        first = np.concatenate([[0], np.cumsum(count)[:-1]])
+        seg = first[owner] + 255 * (np.arange(len(owner)) - np.repeat(np.concatenate([[0], np.cumsum(per)[:-1]]), per))
+        ones = np.zeros((end - at, BITS), dtype=np.int64)
+        for i in range(0, len(seg), max(1, CHUNK // 255)):
+            s = seg[i : i + max(1, CHUNK // 255)]
+            stop = seg[i + len(s)] if i + len(s) < len(seg) else len(h)
+            part = h[s[0] : stop]
+            both = np.stack([part, _mixed(part + np.uint64(0x9E3779B97F4A7C15))], axis=1).view(np.uint8).reshape(len(part), BITS // 8)
+            sums = np.add.reduceat(_SPREAD[both], s - s[0], axis=0).view(np.uint8).reshape(len(s), BITS)
+            np.add.at(ones, owner[i : i + len(s)], sums)
+        out[at:end] = 2 * ones - count[:, None]
+        at = end
+    return out
 
 
 def simhash_values(texts: list[str]) -> np.ndarray:
-    """The SimHash of each text over its character trigrams, as signed 64-bit integers."""
-    out = np.zeros(len(texts), dtype=np.uint64)
-    if texts:
-        h, owner = _grams(texts)
-        n = np.bincount(owner, minlength=len(texts))
-        for bit in range(64):
-            ones = np.bincount(owner, weights=((h >> np.uint64(bit)) & np.uint64(1)).astype(np.float64), minlength=len(texts))
-            out |= (2 * ones > n).astype(np.uint64) << np.uint64(bit)
-    return out.view(np.int64)
+    """The SimHash of each text over its character trigrams: two signed 64-bit integers, (texts, 2)."""
+    return np.packbits(margins(texts) > 0, axis=1, bitorder="little").view(np.int64).reshape(len(texts), 2)
 
 
 def simhash(text: Column) -> Column:
-    """SimHash of each text; of a null text that of the empty one."""
+    """SimHash of each text as struct (a, b); of a null text that of the empty one."""
 
-    @F.pandas_udf("bigint")
-    def values(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("a bigint, b bigint")
+    def values(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            yield pd.Series(simhash_values(["" if t is None else t for t in s]), dtype="int64")
+            yield pd.DataFrame(simhash_values(["" if t is None else t for t in s]), columns=["a", "b"])
 
     return values(text)
 
 
-def trigram_jaccard(a: list[str], b: list[str]) -> np.ndarray:
-    """Jaccard similarity of the trigram sets of each pair."""
-    out = np.zeros(len(a))
-    for i, (x, y) in enumerate(zip(a, b)):
-        x, y = f" {x} ", f" {y} "
-        p = {x[j : j + GRAM] for j in range(len(x) - GRAM + 1)}
-        q = {y[j : j + GRAM] for j in range(len(y) - GRAM + 1)}
-        out[i] = len(p & q) / max(1, len(p | q))
-    return out
+def table_keys(sim: Column) -> Column:
+    """The key of a SimHash in each table, the table's number in it."""
+    half = TABLES // 2
+    block = lambda t: F.shiftrightunsigned(sim["a"] if t < half else sim["b"], WIDTH * (t % half)).bitwiseAND(F.lit((1 << WIDTH) - 1))
+    return F.array(*[(F.lit(t << WIDTH) + block(t)).cast("int") for t in range(TABLES)])
 
 
-def nearest_label(norm: Column, sim: Column, asking: list[tuple[str, str, int]], max_hamming: int, least: float) -> Column:
-    """The smallest label among those of `asking`, (text, label, SimHash), that are within both bounds of a row; null: none is. Every row is compared with every one that asks, so that no pair is missed."""
-    by_label = sorted(asking, key=lambda x: x[1])
+def probe_values(texts: list[str]) -> np.ndarray:
+    """The keys that each text asks for, (texts, keys): in each table its own, and those with one or two of the UNSURE bits turned whose margins are least."""
+    m = margins(texts).reshape(len(texts), TABLES, WIDTH)
+    own = np.packbits(m > 0, axis=2, bitorder="little").view(np.uint16).reshape(len(texts), TABLES).astype(np.int32)
+    turned = (1 << np.argsort(np.abs(m), axis=2, kind="stable")[:, :, :UNSURE]).astype(np.int32)
+    flips = [np.zeros_like(own), *[turned[:, :, i] for i in range(UNSURE)], *[turned[:, :, i] | turned[:, :, j] for i, j in combinations(range(UNSURE), 2)]]
+    number = (np.arange(TABLES, dtype=np.int32) << WIDTH)[None, :]
+    return np.concatenate([number + (own ^ f) for f in flips], axis=1)
 
-    @F.pandas_udf("string")
-    def labels(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for texts, sims in parts:
-            values, out = sims.to_numpy(dtype=np.int64).view(np.uint64), np.full(len(sims), None, dtype=object)
-            for near, label, other in by_label:
-                at = np.flatnonzero(np.bitwise_count(values ^ np.uint64(other % 2**64)) <= max_hamming)
-                for i in at:
-                    if out[i] is None and trigram_jaccard([texts.iat[i]], [near])[0] >= least:
-                        out[i] = label
-            yield pd.Series(out, dtype="object")
 
-    return labels(norm, sim)
+def asking(text: Column) -> Column:
+    """Struct (a, b, keys): SimHash of a text that asks, and the keys it asks for, its own first."""
 
+    @F.pandas_udf("a bigint, b bigint, keys array<int>")
+    def values(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in texts:
+            # In pieces, as a text has many keys.
+            for i in range(0, max(1, len(s)), 10_000):
+                part = s.iloc[i : i + 10_000].tolist()
+                out = pd.DataFrame(simhash_values(part), columns=["a", "b"])
+                out["keys"] = list(probe_values(part))
+                if i == 0:
+                    whole = [out]
+                else:
+                    whole.append(out)
+            yield pd.concat(whole, ignore_index=True)
+
+    return values(text)
+
+
+def trigrams(text: Column) -> Column:
+    """The set of trigrams of the padded text, as an array."""
+    t = F.concat(F.lit(" "), text, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (GRAM - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(GRAM))))
 
-def table_keys(sim: Column) -> Column:
-    """One key for each table: its number and the block's bits. For candidates where nine of ten are enough; spread_labels compares all."""
-    return F.array(*[F.lit(t << WIDTH) + F.shiftrightunsigned(sim, t * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1)) for t in range(BLOCKS)])
 
+def jaccard(a: Column, b: Column) -> Column:
+    """Of two arrays without repetitions."""
+    both = F.size(F.array_intersect(a, b))
+    return both / (F.size(a) + F.size(b) - both)
 
-def spread_labels(texts: DataFrame, max_hamming: int, least: float, shortest: int = 12) -> DataFrame:
-    """(pid, norm, label, sim): the labelled rows of `texts` and all that are connected with seeds by near-duplicates.
 
-    texts: pid (any type that can be joined), norm, label (null: none), sim, and, if not every labelled row is a seed, seed (null: it isn't). Rows agree in Hamming distance
-    and in trigram Jaccard, or there is no link. From the seeds the search goes outward through all other rows, labelled or not, a step at a time, each step from those found by the last, and ends
-    when a step finds none: the components that hold a seed, without ever forming links among the rest. A labelled row keeps its label and carries the search on; any other takes the smallest label that reaches it first.
-    Texts shorter than `shortest` have too few trigrams to be near anything but themselves and are left as they are.
+def alike(x: Column, y: Column, least: float, repeated: Column | None = None) -> Column:
+    """Whether the trigram sets have at least that Jaccard similarity and the lengths that ratio, so that a text repeated isn't like the text; where `repeated` is true, it is."""
+    lx, ly = F.length(x) + 2, F.length(y) + 2
+    long = F.least(lx, ly) >= F.lit(least) * F.greatest(lx, ly)
+    return (long if repeated is None else long | repeated) & (jaccard(trigrams(x), trigrams(y)) >= least)
+
+
+def hamming(x: Column, y: Column) -> Column:
+    return F.bit_count(x["a"].bitwiseXOR(y["a"])) + F.bit_count(x["b"].bitwiseXOR(y["b"]))
+
+
+def tables_of(texts: DataFrame) -> DataFrame:
+    """(key, pid, sim): the tables over all rows, written once; a row for each text and table."""
+    return written(texts.select("pid", "sim", F.explode(table_keys(F.col("sim"))).alias("key")), "tables")
+
+
+def hot_keys(tables: DataFrame) -> DataFrame | None:
+    """(key, pieces) of keys that hold more than HOT_KEY rows; None: there are none."""
+    big = small(tables.groupBy("key").count().filter(F.col("count") > HOT_KEY).select("key", F.ceil(F.col("count") / HOT_KEY).cast("int").alias("pieces")))
+    return None if big.isEmpty() else big
+
+
+def candidates(asking: DataFrame, tables: DataFrame, big: DataFrame | None, max_hamming: int) -> DataFrame:
+    """(asker, pid): pairs of a row that asks, (asker, key, sim) with a row for each key it asks for, and a row of the tables that are within the Hamming distance; each once.
+
+    big: hot_keys(); they are dealt to pieces: their rows once, those who ask for each piece.
     """
-    found = texts.filter("label IS NOT NULL").select("pid", "norm", "label", "sim")
-    seed = F.col("label").isNotNull() & (F.coalesce("seed", F.lit(False)) if "seed" in texts.columns else F.lit(True))
-    front = texts.filter(seed & (F.length("norm") >= shortest))
-    rest = texts.filter(~seed & (F.length("norm") >= shortest)).select("pid", "norm", "sim", F.col("label").alias("own"))
-    reached = None
-    while True:
-        # The texts that ask are a query set against all rows; beyond what a broadcast may hold they ask in blocks.
-        asking = written(front.select(F.col("norm").alias("near"), "label", F.col("sim").alias("other")).distinct(), "asking")
-        n, chars = asking.agg(F.count("*"), F.coalesce(F.sum(F.length("near")), F.lit(0))).first()
-        blocks = max(1, -(-n // BROADCAST_ROWS), -(-chars // BROADCAST_CHARS))
-        hits = None
-        for i in range(blocks):
-            block = [tuple(x) for x in asking.filter(F.pmod(F.xxhash64("near"), F.lit(blocks)) == i).collect()]
-            near = rest.withColumn("label", nearest_label(F.col("norm"), F.col("sim"), block, max_hamming, least)).filter("label IS NOT NULL")
-            hits = near if hits is None else hits.unionByName(near)
-        hits = hits.groupBy("pid").agg(F.first("norm").alias("norm"), F.coalesce(F.first("own"), F.min("label")).alias("label"), F.first("sim").alias("sim"), F.first("own").alias("own"))
-        if reached is not None:
-            hits = hits.join(reached.select("pid"), "pid", "left_anti")
-        front = written(hits, "front")
-        if front.isEmpty():
-            return found
-        reached = front if reached is None else reached.unionByName(front)
-        found = found.unionByName(front.filter("own IS NULL").select(found.columns))
+    ask, held = asking.withColumn("piece", F.lit(0)), tables.withColumn("piece", F.lit(0))
+    if big is not None:
+        pieces = F.coalesce("pieces", F.lit(1))
+        ask = asking.join(big, "key", "left").withColumn("piece", F.explode(F.sequence(F.lit(0), pieces - 1))).drop("pieces")
+        held = tables.join(big, "key", "left").withColumn("piece", F.pmod(F.xxhash64("pid"), pieces).cast("int")).drop("pieces")
+    met = ask.withColumnRenamed("sim", "other").join(held, ["key", "piece"])
+    return met.filter(hamming(F.col("sim"), F.col("other")) <= max_hamming).select("asker", "pid").distinct()
+
+
+class LabelSpread:
+    """Labels that go from trusted texts to all that near-duplicates connect with them.
+
+    texts: pid (struct with a 64-bit hash `a` first), norm, sim, label (null: none). repeated: labels under which a text said several times is like the text. Two texts are linked if their SimHashes are within the Hamming distance and they are alike(). Texts of any length take part.
+    The search goes outward a step at a time, each step from the texts found by the last, until a step finds none: the components that hold a trusted text, without ever forming links among the rest.
+
+    A step is a shuffle join of the keys that its texts ask for with the tables. What was found, and what asked, leaves the tables. Of the texts that ask under one key about FIRST, by lot, go first, four times as many in
+    the next step and so on, so that of a large group of texts alike nearly all are found by few, and the others don't meet them all once more.
+    """
+
+    def __init__(self, texts: DataFrame, max_hamming: int, least: float, repeated: tuple[str, ...] = ()) -> None:
+        self.max_hamming, self.least, self.repeated = max_hamming, least, repeated
+        self.texts = texts.select("pid", "norm", F.col("label").alias("own"))
+        self.tables = tables_of(texts)
+        self.big = hot_keys(self.tables)
+        self.reached: DataFrame | None = None
+
+    def leave(self, pids: DataFrame) -> None:
+        """These rows have asked or been found: nothing finds them again."""
+        self.reached = pids.select("pid") if self.reached is None else self.reached.unionByName(pids.select("pid"))
+
+    def _left(self) -> DataFrame:
+        return self.tables if self.reached is None else self.tables.join(small(self.reached.distinct()), "pid", "left_anti")
+
+    def go(self, front: DataFrame) -> DataFrame:
+        """(pid, norm, label) of what is newly found from front, (norm, label), whose texts needn't be among the rows. A row takes the smallest label that reaches it first; a labelled row keeps its own and carries the search on."""
+        queue, first, found = front.filter("norm IS NOT NULL").select("norm", "label"), FIRST, None
+        while True:
+            # Equal texts ask once.
+            asks = queue.groupBy("norm").agg(F.min("label").alias("label"))
+            asks = written(asks.select("norm", "label", F.xxhash64("norm").alias("asker"), asking(F.col("norm")).alias("q")).select("norm", "label", "asker", F.struct("q.a", "q.b").alias("sim"), "q.keys"), "asking")
+            own = asks.select("asker", F.explode(F.slice("keys", 1, TABLES)).alias("key"))
+            # There are no more than TABLES * 2**WIDTH keys, half a million: their counts may be broadcast.
+            crowded = written(own.groupBy("key").count().filter(F.col("count") > first), "crowded")
+            go, late = asks, None
+            if not crowded.isEmpty():
+                crowd = own.join(F.broadcast(crowded), "key").groupBy("asker").agg(F.max("count").alias("crowd"))
+                lot = F.pmod(F.xxhash64(F.lit(3), "asker"), F.lit(1 << 30)) / (1 << 30)
+                dealt = written(asks.join(crowd, "asker", "left").withColumn("late", F.coalesce(lot >= F.lit(first) / F.col("crowd"), F.lit(False))).drop("crowd"), "dealt")
+                go, late = dealt.filter("NOT late"), dealt.filter("late").select("norm", "label")
+            pairs = written(candidates(go.select("asker", "sim", F.explode("keys").alias("key")), self._left(), self.big, self.max_hamming), "pairs")
+            rows = in_bitmap(self.texts.withColumn("h", F.col("pid.a")), "h", *bitmap(pairs.select(F.col("pid.a").alias("h")), "h", pairs.count())).drop("h")
+            met = pairs.join(rows, "pid").join(asks.select("asker", F.col("norm").alias("near"), "label"), "asker").filter(alike(F.col("norm"), F.col("near"), self.least, F.col("label").isin(*self.repeated)))
+            new = written(met.groupBy("pid").agg(F.first("norm").alias("norm"), F.coalesce(F.first("own"), F.min("label")).alias("label")), "front")
+            found = new if found is None else found.unionByName(new)
+            queue = new.select("norm", "label") if late is None else new.select("norm", "label").unionByName(late)
+            if queue.isEmpty():
+                return found
+            self.leave(new)
+            first *= 4
+
+
+def spread_labels(texts: DataFrame, max_hamming: int, least: float) -> DataFrame:
+    """(pid, label): the labelled rows of `texts` and all that LabelSpread connects with the seeds: rows with seed true, or, without that column, all labelled rows."""
+    seeds = texts.filter(F.col("label").isNotNull() & (F.coalesce("seed", F.lit(False)) if "seed" in texts.columns else F.lit(True)))
+    spread = LabelSpread(texts, max_hamming, least)
+    spread.leave(seeds)
+    found = spread.go(seeds)
+    return texts.filter("label IS NOT NULL").select("pid", "label").unionByName(found.join(texts.filter("label IS NULL").select("pid"), "pid").select("pid", "label"))

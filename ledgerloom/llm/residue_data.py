@@ -22,8 +22,8 @@ ASKING = (
 
 #: Slots whose delimiters only templates have.
 SLOTS = (
-    r"\{\{[^{}\n]{1,60}\}\}", r"\$\{[^{}\n]{1,60}\}", r"#\{[^{}\n]{1,60}\}", r"\{%[^{}\n]{1,60}%\}", r"<%=?[^<>\n]{1,60}%>", r"@@[^@\n]{1,60}@@", r"%\([^()\n]{1,60}\)[sd]", r"\$\([^()\n]{1,60}\)", r"\[\[[^\[\]\n]{1,60}\]\]", r"<<[^<>\n]{1,60}>>",
-    r"__[\p{L}\d][^_\n]*(?:_[^_\n]+)*__", r"%\p{L}[\p{L}\d_. '’-]{1,40}%", r"\$\p{L}[\p{L}\d_. '’-]{1,40}\$", r"\|\p{L}[\p{L}\d_. '’-]{1,40}\|", r"[\[<{]\s*\p{L}+(?:[_.]\p{L}+)+\s*[\]>}]", r"_{3,}",
+    r"\{\{[^{}\n]++\}\}", r"\$\{[^{}\n]++\}", r"#\{[^{}\n]++\}", r"\{%[^{}\n]+%\}", r"<%=?[^<>\n]+%>", r"@@[^@\n]++@@", r"%\([^()\n]++\)[sd]", r"\$\([^()\n]++\)", r"\[\[[^\[\]\n]++\]\]", r"<<[^<>\n]++>>",
+    r"__[\p{L}\d][^_\n]*(?:_[^_\n]+)*__", r"%\p{L}[\p{L}\d_. '’-]++%", r"\$\p{L}[\p{L}\d_. '’-]++\$", r"\|\p{L}[\p{L}\d_. '’-]++\|", r"[\[<{]\s*\p{L}+(?:[_.]\p{L}+)+\s*[\]>}]", r"_{3,}",
 )
 
 #: Bare slots: patterns of a date or a number where one should stand, in capitals as a template has them.
@@ -32,48 +32,37 @@ BARE = (
     r"\b(?:FIRST NAME SURNAME|VORNAME NACHNAME|VORNAME NAME|PR[ÉE]NOM NOM|NOMBRE APELLIDOS?)\b",
 )
 
-#: Passages that are residue as a whole, compared without case, digits and punctuation.
-EXAMPLES = {
+#: Trusted passages: what web servers, frameworks, browsers and word processors in general use say, without case, digits and punctuation. They are written down from general knowledge of such notices, not from any
+#: corpus; what a corpus says in other words is found from them by likeness and by company.
+PHRASES = {
     "script": (
-        "please enable javascript to view this transcript", "javascript is disabled in your browser", "your browser does not execute scripts so the speech cannot be shown", "this page needs scripts to run", "script support is required to display this content",
-        "scripts are blocked", "allow them and reload the page", "the record viewer stays empty as long as js is switched off", "you need to turn on scripting to read the record", "alternatively use an up to date browser", "consult the help of your browser for instructions",
-        "bitte aktivieren sie javascript um das protokoll anzuzeigen", "in ihrem browser ist javascript ausgeschaltet", "diese seite benötigt skripte", "ohne eingeschaltete skripte kann die rede nicht dargestellt werden",
-        "veuillez activer javascript pour afficher le compte rendu", "votre navigateur n exécute pas les scripts", "cette page requiert l exécution de scripts", "le javascript est désactivé le discours ne peut pas s afficher",
-        "active javascript para ver el acta", "su navegador no ejecuta scripts", "esta página necesita ejecutar scripts", "sin javascript no es posible mostrar el discurso",
+        "please enable javascript to view this page", "please enable javascript to continue", "please enable javascript in your browser", "javascript is disabled in your browser", "javascript is required to view this page", "javascript must be enabled to view this page", "this page needs javascript to run", "this site requires javascript",
+        "you need to enable javascript to run this app", "you must enable javascript to use this site", "you need to turn on javascript to read this page", "your browser does not support javascript", "your browser does not run scripts so the page cannot be shown", "scripts are disabled in your browser", "scripts are blocked", "please use an up to date browser",
+        "bitte aktivieren sie javascript um diese seite anzuzeigen", "javascript ist in ihrem browser deaktiviert", "javascript ist in ihrem browser ausgeschaltet", "diese seite benötigt javascript", "ihr browser unterstützt kein javascript", "ohne eingeschaltetes javascript kann die seite nicht dargestellt werden",
+        "veuillez activer javascript pour afficher cette page", "le javascript est désactivé dans votre navigateur", "cette page nécessite javascript", "cette page requiert javascript", "cette page requiert l activation de javascript", "votre navigateur ne prend pas en charge javascript", "votre navigateur n exécute pas javascript", "sans javascript la page ne peut pas s afficher",
+        "active javascript para ver esta página", "javascript está desactivado en su navegador", "esta página necesita javascript", "su navegador no admite javascript", "su navegador no ejecuta javascript", "sin javascript no es posible mostrar la página",
     ),
     "error": (
-        "the transcript you requested could not be found on this server", "the upstream server returned an invalid response", "your session has timed out sign in again to continue", "unable to connect to the transcript database", "an unexpected condition was encountered while loading the speech",
-        "no entry matches this address", "the link may be broken or the page may have been moved", "we are carrying out maintenance and will be back shortly", "please confirm that you are not a robot", "the service is temporarily unavailable", "please try again later or contact the record office",
-        "you do not have permission to view this record", "sorry this sitting is not available in your area", "the request was blocked by the firewall of the record office", "null pointer in module speech body line", "retry in seconds", "document could not be rendered",
-        "das angeforderte protokoll wurde nicht gefunden", "keine verbindung zur protokolldatenbank", "der dienst steht vorübergehend nicht zur verfügung", "bitte versuchen sie es später erneut", "sie sind nicht berechtigt diese seite zu sehen",
-        "le compte rendu demandé est introuvable", "connexion à la base impossible", "le service est momentanément indisponible", "veuillez réessayer plus tard", "vous n êtes pas autorisé à consulter cette page",
-        "el acta solicitada no existe", "no se pudo conectar con la base de actas", "el servicio no está disponible por el momento", "vuelva a intentarlo más tarde", "no tiene permiso para ver esta página",
+        "bad request", "unauthorized", "forbidden", "not found", "page not found", "gone", "request timeout", "internal server error", "bad gateway", "service unavailable", "gateway timeout", "too many requests", "access denied", "session expired", "something went wrong", "page unavailable", "connection refused", "connection timed out",
+        "http bad request", "http forbidden", "http not found", "http gone", "http internal server error", "http bad gateway", "http service unavailable", "http gateway timeout", "http too many requests", "error not found", "error forbidden", "error bad gateway", "error service unavailable",
+        "the page you requested could not be found on this server", "the requested url was not found on this server", "the server encountered an internal error and was unable to complete your request", "an unexpected condition was encountered while loading the page", "the server received an invalid response from the upstream server",
+        "the service is temporarily unavailable", "please try again later", "please try again later or contact the administrator", "you do not have permission to view this page", "your session has expired please sign in again", "your session has timed out", "we are performing maintenance and will be back shortly", "please confirm that you are not a robot",
+        "sorry this content is not available in your area", "the request was blocked by the firewall", "an unexpected error occurred while loading the page", "unable to connect to the database", "the link may be broken or the page may have been removed", "null pointer exception", "unhandled exception", "segmentation fault", "document could not be displayed", "retry in a few seconds",
+        "seite nicht gefunden", "zugriff verweigert", "dienst nicht verfügbar", "interner serverfehler", "sitzung abgelaufen", "zeitüberschreitung", "die angeforderte seite wurde nicht gefunden", "keine verbindung zur datenbank", "der dienst steht vorübergehend nicht zur verfügung", "bitte versuchen sie es später erneut", "sie sind nicht berechtigt diese seite aufzurufen",
+        "page introuvable", "accès refusé", "service indisponible", "erreur interne du serveur", "session expirée", "la page demandée est introuvable", "connexion à la base de données impossible", "le service est temporairement indisponible", "veuillez réessayer plus tard", "vous n êtes pas autorisé à accéder à cette page",
+        "página no encontrada", "acceso denegado", "servicio no disponible", "error interno del servidor", "sesión caducada", "la página solicitada no existe", "no se pudo conectar con la base de datos", "el servicio no está disponible en este momento", "vuelva a intentarlo más tarde", "no tiene permiso para acceder a esta página",
     ),
     "filler": (
-        "lorem ipsum goes here until the final wording arrives", "this is a sample paragraph and will be replaced by the speech", "dummy speech for layout purposes only", "body copy goes here", "sample text sample text sample text",
-        "hier steht später die rede", "dies ist ein blindtext und wird durch die rede ersetzt", "platzhaltertext für das layout", "mustertext mustertext mustertext",
-        "ceci est un texte d exemple qui sera remplacé", "le discours viendra ici", "texte factice texte factice", "este es un texto de ejemplo y se sustituirá por el discurso", "aquí irá el discurso", "texto simulado texto simulado",
+        "lorem ipsum dolor sit amet", "lorem ipsum dolor sit amet consectetur adipiscing elit", "sample text", "this is sample text and will be replaced", "this is a sample paragraph", "placeholder text for layout purposes only", "dummy text for layout purposes only", "text goes here", "your text here", "insert text here", "body text goes here",
+        "dies ist ein blindtext", "dies ist ein blindtext und wird noch ersetzt", "hier steht später der text", "platzhaltertext", "platzhaltertext für das layout", "mustertext", "beispieltext",
+        "ceci est un texte d exemple", "texte factice", "le texte viendra ici", "este es un texto de ejemplo", "texto de ejemplo", "texto simulado", "aquí irá el texto",
     ),
 }
 
-#: The same kinds by pattern, on whole passages without case, digits and punctuation; for wordings that no example has.
-PATTERNS = {
-    "script": (
-        r"(?:please |you (?:need to|must|have to) |to \w+ this [\w ]{1,30} )?(?:enable|activate|turn on|switch on|allow) (?:java ?script|js|scripts|scripting)\b.{0,60}", r"(?:java ?script|js|scripts?|scripting)(?: support)? (?:is|are|must be|has been|have been) (?:disabled|blocked|switched off|turned off|not enabled|required|needed|necessary)\b.{0,60}", r"(?:this|the) (?:page|site|website|application|viewer) (?:needs|requires) (?:java ?script|js|scripts|scripting)\b.{0,40}", r"your browser (?:does not|doesn t|cannot|can t) (?:support|execute|run) (?:java ?script|js|scripts|scripting)\b.{0,60}",
-        r"bitte (?:aktivieren|erlauben|schalten) sie (?:java ?script|skripte)\b.{0,60}", r"(?:java ?script|skripte) (?:ist|sind) (?:deaktiviert|blockiert|ausgeschaltet|erforderlich)\b.{0,40}", r"diese (?:seite|anwendung) (?:benötigt|erfordert|braucht) (?:java ?script|skripte)\b.{0,40}",
-        r"(?:veuillez )?(?:activer|activez|autorisez) (?:le )?(?:java ?script|les scripts)\b.{0,60}", r"(?:le )?java ?script est (?:désactivé|bloqué|requis|nécessaire)\b.{0,60}", r"cette page (?:requiert|nécessite|a besoin) .{0,20}(?:java ?script|scripts)\b.{0,30}",
-        r"(?:por favor )?(?:active|habilite|permita) (?:el )?(?:java ?script|los scripts)\b.{0,60}", r"java ?script está (?:desactivado|deshabilitado|bloqueado)\b.{0,60}", r"esta página (?:necesita|requiere) .{0,20}(?:java ?script|scripts)\b.{0,30}",
-    ),
-    "error": (
-        r"(?:http )?(?:error )?(?:bad request|unauthorized|forbidden|not found|page not found|gone|request timeout|internal server error|bad gateway|service unavailable|gateway time ?out|too many requests|access denied|session expired|something went wrong|page unavailable|connection refused|connection timed out)(?: error)?",
-        r"(?:seite nicht gefunden|zugriff verweigert|dienst nicht verfügbar|interner serverfehler|sitzung abgelaufen|zeitüberschreitung|page introuvable|accès refusé|service indisponible|erreur interne du serveur|session expirée|página no encontrada|acceso denegado|servicio no disponible|error interno del servidor|sesión caducada)",
-        r"(?:the|this) (?:page|document|file|record|transcript|resource)(?: you requested| you are looking for)? (?:could not be|cannot be|was not) (?:found|displayed|loaded|opened)\b.{0,40}", r"(?:null pointer|unhandled exception|segmentation fault)\b.*", r"\w*exception in (?:thread|module)\b.{0,60}", r"traceback most recent call last.{0,80}",
-    ),
-    "filler": (r"(?:\w+ ){0,3}\blorem ipsum\b(?! from| für| de principio| du début).*", r".*\b(?:test test test|essai essai|prueba prueba)\b.*", r"(?:insert|your) text here", r"(?:bla ){3,}bla.*"),
-}
-
-#: Words that patterns of filler find repeated, whatever stands around them.
+#: Words said over and over that are filler wherever they stand, and as whole passages.
+SAID_AGAIN = r".*\b(?:test test test|essai essai|prueba prueba)\b.*|(?:bla ){3,}bla\b.*|lorem ipsum\b.*"
+#: Of these, the words themselves.
 REPEATED = ("test", "essai", "prueba", "bla")
 
-#: Whole passages that stand alone only where a system wrote: a code of an HTTP error, with or without the word, before digits are dropped.
-CODES = r"(?:http |error |fehler |erreur |code )+[45]\d\d\b.{0,30}|[45]\d\d (?:not found|bad gateway|forbidden|gone|unauthorized|internal server error|service unavailable|gateway time.?out|too many requests)|(?:reference|referencia|référence|vorgangsnummer|incident|ticket):? *(?:no\.? ?|nr\.? ?)?[\dA-F]{2,}(?:-[\dA-F]{1,}){1,4}"
+#: Whole passages that stand alone only where a system wrote: a code of an HTTP error or a reference number, before digits are dropped.
+CODES = r"(?:http |error |fehler |erreur |code )+[45]\d\d|[45]\d\d|(?:reference|referencia|référence|vorgangsnummer|incident|ticket):? *(?:no\.? ?|nr\.? ?)?[\dA-F]{2,}(?:-[\dA-F]{1,}){1,4}"
