@@ -137,17 +137,13 @@ def trigrams(text: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (GRAM - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(GRAM))))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays without repetitions."""
-    both = F.size(F.array_intersect(a, b))
-    return both / (F.size(a) + F.size(b) - both)
-
-
-def alike(x: Column, y: Column, least: float, repeated: Column | None = None) -> Column:
-    """Whether the trigram sets have at least that Jaccard similarity and the lengths that ratio, so that a text repeated isn't like the text; where `repeated` is true, it is."""
+def alike(pairs: DataFrame, x: str, y: str, least: float, repeated: Column | None = None) -> DataFrame:
+    """The pairs whose trigram sets have at least that Jaccard similarity and the lengths that ratio, so that a text repeated isn't like the text; where `repeated` is true, it is."""
     lx, ly = F.length(x) + 2, F.length(y) + 2
     long = F.least(lx, ly) >= F.lit(least) * F.greatest(lx, ly)
-    return (long if repeated is None else long | repeated) & (jaccard(trigrams(x), trigrams(y)) >= least)
+    # Lengths first, then each set once.
+    near = pairs.filter(long if repeated is None else long | repeated).withColumns({"__x": trigrams(F.col(x)), "__y": trigrams(F.col(y))})
+    return near.withColumn("__both", F.size(F.array_intersect("__x", "__y"))).filter(F.col("__both") >= F.lit(least) * (F.size("__x") + F.size("__y") - F.col("__both"))).drop("__x", "__y", "__both")
 
 
 def hamming(x: Column, y: Column) -> Column:
@@ -221,7 +217,7 @@ class LabelSpread:
                 go, late = dealt.filter("NOT late"), dealt.filter("late").select("norm", "label")
             pairs = written(candidates(go.select("asker", "sim", F.explode("keys").alias("key")), self._left(), self.big, self.max_hamming), "pairs")
             rows = in_bitmap(self.texts.withColumn("h", F.col("pid.a")), "h", *bitmap(pairs.select(F.col("pid.a").alias("h")), "h", pairs.count())).drop("h")
-            met = pairs.join(rows, "pid").join(asks.select("asker", F.col("norm").alias("near"), "label"), "asker").filter(alike(F.col("norm"), F.col("near"), self.least, F.col("label").isin(*self.repeated)))
+            met = alike(pairs.join(rows, "pid").join(asks.select("asker", F.col("norm").alias("near"), "label"), "asker"), "norm", "near", self.least, F.col("label").isin(*self.repeated))
             new = written(met.groupBy("pid").agg(F.first("norm").alias("norm"), F.coalesce(F.first("own"), F.min("label")).alias("label")), "front")
             found = new if found is None else found.unionByName(new)
             queue = new.select("norm", "label") if late is None else new.select("norm", "label").unionByName(late)

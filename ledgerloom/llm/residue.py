@@ -17,12 +17,12 @@ from ledgerloom.plans.joins import bitmap, in_bitmap, small, spread
 from ledgerloom.plans.scratch import written
 
 #: Spans in quotation marks, within a line, of any length. An apostrophe between letters isn't one.
-_QUOTED = "|".join((
+_QUOTED = "(?=[\"'„«“‘])(?:" + "|".join((
     r'"[^"\n]{2,}+"', r"(?<![\p{L}\d])'(?=[^\n]{2})[^'\n]*+(?:(?<=[\p{L}\d])'(?=[\p{L}\d])[^'\n]*+)*+'(?![\p{L}\d])", r"„[^„“”\n]{2,}+[“”]", r"«[^«»\n]{2,}+»", r"“[^“”\n]{2,}+”", r"(?<![\p{L}\d])‘(?=[^\n]{2})[^‘’\n]*+(?:(?<=[\p{L}\d])’(?=[\p{L}\d])[^‘’\n]*+)*+’(?![\p{L}\d])",
-))
+)) + ")"
 #: Ends of passages within a line: sentences, speaker labels and headings, parts of a headline, paragraph tags, rows of asterisks.
 _ENDS = r"[.!?]\s+|:(?<!eference:|eferencia:|éférence:|organgsnummer:)\s+|\s[-–|]\s|</?p>|\*{3,}"
-_NOTE = r"\([^()\n]*+\)|\[[^\[\]\n]*+\]|<[^<>\n]++>|\{[^{}\n]++\}"
+_NOTE = r"(?=[(\[<{])(?:\([^()\n]*+\)|\[[^\[\]\n]*+\]|<[^<>\n]++>|\{[^{}\n]++\})"
 #: Passages a line may have before its number runs into the next line's; their order only matters within a document.
 _LINE = 1 << 24
 
@@ -50,7 +50,8 @@ def slot_pattern() -> str:
 def slot_mark() -> str:
     """What no slot can do without, so that few lines are searched for all kinds of slots: every string that slot_pattern() finds holds it."""
     asking = r"(?iu:\([^\[\]<>{}()\n]*?(?:" + _fields(R.ASKING) + "))"
-    return r"[{<%@|\[]|\$\D|__|XX|NN|[Dd]{2}[./-]|TT|tt[./-]|[Jj]{2}[./-]|DAY|TAG|JOUR|DÍA|DIA|NAME|PRÉNOM|PRENOM|NOMBRE|" + asking
+    # Each alternative begins with a character that most lines have few of.
+    return r"(?=[{<%@|\[$_XNDTJPV(./-])(?:[{<%@|\[]|\$\D|__|XX|NN|(?<=[DdTtJj]{2})[./-]|DAY|TAG|JOUR|DÍA|DIA|NAME|VORNAME|PRÉNOM|PRENOM|NOMBRE|" + asking + ")"
 
 
 def clean(text: Column) -> Column:
@@ -107,11 +108,19 @@ def is_mashed(words: list[str], common: frozenset[str], whole: bool = False) ->
 def by_words(norm: Column, common: frozenset[str]) -> Column:
     """(foreign, mashed, whole): the share of a passage's words that aren't common, 0 for fewer than four words; is_mashed, anywhere and as a whole."""
 
+    known = common.__contains__
+
+    def one(text: str) -> tuple[float, bool, bool]:
+        ws = text.split(" ")
+        n = len(ws)
+        # Most passages repeat no word: only the others are looked at closely.
+        close = n > 2 and (n - len(set(ws)) > 1 or "xx" in text)
+        return 1 - sum(map(known, ws)) / n if n > 3 else 0.0, close and is_mashed(ws, common), close and is_mashed(ws, common, True)
+
     @F.pandas_udf("foreign double, mashed boolean, whole boolean")
     def judged(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in texts:
-            split = [t.split(" ") for t in s]
-            yield pd.DataFrame({"foreign": [sum(w not in common for w in ws) / len(ws) if len(ws) > 3 else 0.0 for ws in split], "mashed": [is_mashed(ws, common) for ws in split], "whole": [is_mashed(ws, common, True) for ws in split]})
+            yield pd.DataFrame(list(map(one, s)), columns=["foreign", "mashed", "whole"])
 
     return judged(norm)
 
@@ -199,8 +208,10 @@ def residue(documents: DataFrame, max_hamming: int = 40, similarity: float = SIM
     model = _filler_model(all_passages, by_itself)
     known = by_itself
     if model:
-        like = F.when(F.col("foreign") & F.col("label").isNull(), scores(F.col("norm"), *model))
-        known = written(by_itself.withColumn("label", F.coalesce("label", F.when(like >= FILLER_SCORE, "filler"))), "known")
+        # Only what the model is asked about goes through Python.
+        asked = F.col("foreign") & F.col("label").isNull()
+        scored = by_itself.filter(asked).withColumn("label", F.when(scores(F.col("norm"), *model) >= FILLER_SCORE, "filler"))
+        known = written(by_itself.filter(~asked).unionByName(scored), "known")
     labelled = propagate(all_passages, known, n, max_hamming, similarity)
     by_passage = all_passages.join(labelled, "pid").select("doc_id", "label")
     slots = all_passages.filter("slot").select("doc_id", F.lit("template").alias("label"))
