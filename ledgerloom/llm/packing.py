@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -14,8 +15,8 @@ from ledgerloom.plans.scratch import written
 
 #: Items packed by one call of best_fit at most, on average.
 GROUP_ITEMS = 25_000
-#: Capacities in one call; each item is listed for each of them.
-MOST_SPECS = 1_000
+#: Capacities in one list of a plan.
+SPECS = 1_000
 
 
 def best_fit(sizes: Sequence[int], clusters: Sequence[int], sources: Sequence[int], capacity: int, apart: Iterable[tuple[int, int]] = ()) -> list[int]:
@@ -25,6 +26,7 @@ def best_fit(sizes: Sequence[int], clusters: Sequence[int], sources: Sequence[in
     until a compatible bin is found, which then is the tightest. A bin is compatible if its bitmap of duplicate clusters lacks the item's
     cluster and its bitmap of sources has none from which the item's source is to be kept `apart`. Both are kept by column: for
     each cluster or source a bitmap of the bins that hold it, so one operation tests all bins of a residual. Negative clusters conflict with none.
+    Of equally tight bins one that doesn't hold the item's source yet is taken, else the first: sources are mixed as far as that costs no space.
     """
     at_residual: dict[int, int] = {}
     residuals = 0  # bit r: some bin has residual r
@@ -47,7 +49,8 @@ def best_fit(sizes: Sequence[int], clusters: Sequence[int], sources: Sequence[in
             r += step
             fit = at_residual[r] & ~barred
             if fit:
-                chosen = (fit & -fit).bit_length() - 1
+                other = fit & ~with_source.get(source, 0) or fit
+                chosen = (other & -other).bit_length() - 1
                 break
             higher >>= step + 1
             r += 1
@@ -65,8 +68,7 @@ def best_fit(sizes: Sequence[int], clusters: Sequence[int], sources: Sequence[in
         residuals |= 1 << left
         if cluster >= 0:
             with_cluster[cluster] = with_cluster.get(cluster, 0) | 1 << chosen
-        if foes:
-            with_source[source] = with_source.get(source, 0) | 1 << chosen
+        with_source[source] = with_source.get(source, 0) | 1 << chosen
         out.append(chosen)
     return out
 
@@ -87,7 +89,9 @@ def _round(items: DataFrame, number: int, apart: Sequence[tuple[str, str]], grou
         frame["free"] = frame["known"] < 0
         frame = frame.sort_values(["free", "size", "doc_id", "piece"], ascending=[True, False, True, True], kind="stable", ignore_index=True)
         clusters = frame["known"].tolist()
-        sources = [code.get(s, -1) for s in frame["source"]]
+        # Sources that are kept apart have the numbers that kept_apart names.
+        others = {x: len(code) + i for i, x in enumerate(sorted({x for x in frame["source"].dropna() if x not in code}))}
+        sources = [code.get(x, others.get(x, -1)) for x in frame["source"].where(frame["source"].notna(), None)]
         capacity = int(frame["capacity"].iloc[0])
         frame["bin"] = best_fit(frame["size"].tolist(), clusters, sources, capacity, kept_apart)
         frame["fill"] = frame.groupby("bin")["size"].transform("sum")
@@ -108,13 +112,15 @@ def fill_containers(items: DataFrame, specs: DataFrame, apart: Sequence[tuple[st
     Items without tokens, or with null tokens, need no container: tokens 0, container and fill null. A spec with null capacity or one below 1 is left out.
     Repeated doc_ids are items of their own but for their order. Null sources are a source. Empty items or specs: an empty result.
     """
-    listed = specs.filter("capacity_tokens >= 1").select(F.col("spec_id").cast("int"), F.col("capacity_tokens").cast("int")).distinct().limit(MOST_SPECS + 1).collect()
-    if len(listed) > MOST_SPECS:
-        raise ValueError(f"more than {MOST_SPECS} capacities")
-    wanted = F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).alias("capacity")) for s, c in listed]) if listed else F.expr("CAST(array() AS array<struct<spec_id:int,capacity:int>>)")
+    listed = specs.filter("capacity_tokens >= 1").select(F.col("spec_id").cast("int"), F.col("capacity_tokens").cast("int")).distinct().toLocalIterator()
     each = items.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("cluster"), F.xxhash64(F.lit("none"), "doc_id")).alias("cluster"), F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
     # Sizes are counted once, before a document is listed for each capacity.
-    paired = written(each, "sizes").select("*", F.inline(wanted))
+    # Each item is listed for each capacity, of which a plan takes SPECS at a time.
+    sizes, paired = written(each, "sizes"), None
+    while (some := list(islice(listed, SPECS))) or paired is None:
+        wanted = F.array(*[F.struct(F.lit(s).cast("int").alias("spec_id"), F.lit(c).alias("capacity")) for s, c in some]) if some else F.expr("CAST(array() AS array<struct<spec_id:int,capacity:int>>)")
+        part = sizes.select("*", F.inline(wanted))
+        paired = part if paired is None else paired.unionByName(part)
     whole = F.floor(F.col("tokens") / F.col("capacity")).cast("int")
     rest = F.col("tokens") % F.col("capacity")
     full = paired.filter("tokens >= capacity").withColumn("piece", F.explode(F.sequence(F.lit(0), whole - 1))).select("spec_id", "doc_id", "piece", F.col("capacity").cast("bigint").alias("tokens"), F.concat(F.lit("full-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("piece").cast("string")).alias("container"), F.col("capacity").cast("bigint").alias("fill"), "capacity")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.llm.components import duplicate_classes
 from ledgerloom.llm.mixing import mix
 from ledgerloom.llm.packing import fill_containers
 from ledgerloom.llm.residue import residue
@@ -17,13 +18,15 @@ from ledgerloom.sources.tables import table
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, source, tokens, cluster): copies of a text, and a speech and its reissues, are one cluster."""
+    """(doc_id, source, tokens, cluster) of every document."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "reissue_of", "text"))
-    sizes = written(docs.select("doc_id", "source", "reissue_of", F.xxhash64("text").alias("text_hash"), token_count(F.col("text")).alias("tokens")), "tokens")
-    earliest = sizes.groupBy("text_hash").agg(F.min("doc_id").alias("cluster"))
-    copies = sizes.join(earliest, "text_hash")
-    roots = copies.select(F.col("doc_id").alias("reissue_of"), F.col("cluster").alias("root")).dropDuplicates(["reissue_of"])
-    return copies.join(roots, "reissue_of", "left").select("doc_id", "source", "tokens", F.coalesce("root", "cluster").alias("cluster"))
+    sizes = written(docs.select("doc_id", "source", token_count(F.col("text")).alias("tokens")), "tokens")
+    return sizes.join(duplicate_classes(docs), "doc_id")
+
+
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of documents that are the same but for small corrections, of each document."""
+    return duplicate_classes(spread(table(spark, sf_dir, "documents").select("doc_id", "reissue_of", "text")))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,6 +34,13 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_containers(_clustered(spark, sf_dir), table(spark, sf_dir, "container_spec"))
 
 
+def p7_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers that hold two documents of one class: none may come out."""
+    clustered = written(_clustered(spark, sf_dir), "clustered")
+    placed = fill_containers(clustered, table(spark, sf_dir, "container_spec")).join(clustered.select("doc_id", "cluster"), "doc_id").filter("container IS NOT NULL")
+    return placed.groupBy("spec_id", "container", "cluster").agg(F.count_distinct("doc_id").alias("documents")).filter("documents > 1")
+
+
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers, tokens in them and the share of their space that is used, for each capacity."""
     placed = p7_containers(spark, sf_dir).filter("container IS NOT NULL")
@@ -58,7 +68,7 @@ def p9_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_containers, p7_fill, p8_mixture, p8_shares, p9_found, p9_kinds)}
+    return {f.__name__: f for f in (p7_containers, p7_fill, p7_classes, p7_conflicts, p8_mixture, p8_shares, p9_found, p9_kinds)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,20 +5,21 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ledgerloom.llm import packing
 from ledgerloom.llm.packing import best_fit, fill_containers
 
 ITEM = st.tuples(st.integers(1, 20), st.integers(-1, 3), st.integers(0, 2))
 
 
 def naive(items, capacity, apart):
-    """Look at every bin; take the tightest compatible one, of equals the first."""
+    """Look at every bin; take the tightest compatible one, of equals one without the item's source, of these the first."""
     bins, out = [], []
     for size, cluster, source in items:
         ok = [
-            (b["left"], i) for i, b in enumerate(bins)
+            (b["left"], source in b["sources"], i) for i, b in enumerate(bins)
             if b["left"] >= size and (cluster < 0 or cluster not in b["clusters"]) and not any({source, s} in apart for s in b["sources"])
         ]
-        i = min(ok)[1] if ok else len(bins)
+        i = min(ok)[2] if ok else len(bins)
         if not ok:
             bins.append({"left": capacity, "clusters": set(), "sources": set()})
         bins[i]["left"] -= size
@@ -80,6 +81,12 @@ def test_a_third_of_all_items_in_one_cluster(frame):
     assert len(held) == 100
 
 
+def test_more_capacities_than_a_list_holds(frame, monkeypatch):
+    monkeypatch.setattr(packing, "SPECS", 2)
+    items, specs = [(i, "a", None, i % 7) for i in range(20)], [(i, 10 + i) for i in range(5)]
+    checked(fill_containers(frame(ITEMS, items), frame(SPECS, specs)).collect(), items, specs)
+
+
 def test_empty_items_and_specs(frame):
     assert fill_containers(frame(ITEMS), frame(SPECS, [(1, 5)])).count() == 0
     assert fill_containers(frame(ITEMS, [(1, "a", None, 5)]), frame(SPECS)).count() == 0
