@@ -50,10 +50,11 @@ def descend(leaves: DataFrame, leaf_bits: int) -> DataFrame:
         steps.append(min(FANOUT_BITS, bits))
         levels.append(written(_digests(levels[-1].withColumn("node", F.shiftright("node", steps[-1]))), "level"))
         bits -= steps[-1]
-    found = _differing(levels[-1])
+    found = written(_differing(levels[-1]), "differing")
     for digests, step in zip(reversed(levels[:-1]), reversed(steps)):
         parents = found.withColumnRenamed("node", "parent")
-        found = _differing(digests.withColumn("parent", F.shiftright("node", step)).join(parents.select("parent").distinct(), "parent", "left_semi")).withColumn("parent", F.shiftright("node", step)).join(parents, ["s", "parent"], "left_semi").drop("parent")
+        below = digests.withColumn("parent", F.shiftright("node", step)).join(parents.select("parent").distinct(), "parent", "left_semi")
+        found = written(_differing(below).withColumn("parent", F.shiftright("node", step)).join(parents, ["s", "parent"], "left_semi").drop("parent"), "differing")
     return found.withColumnRenamed("node", "leaf")
 
 
