@@ -99,22 +99,22 @@ def near_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = written(keys.join(shared, "key", "left_semi"), "members")
     sets = written(sets_of(written(members.select("id").distinct(), "involved")), "sets")
-    open_, links, met = members, None, None
+    open_, judged = members, None
     while True:
         pivots = written(open_.groupBy("key").agg(F.min("id").alias("pivot")), "pivots")
         if pivots.isEmpty():
-            return links if links is not None else members.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+            return judged.filter("linked").select("u", "v") if judged is not None else members.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
         pairs = members.join(pivots, "key").filter("id <> pivot").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
-        if met is not None:
-            pairs = pairs.join(met, ["u", "v"], "left_anti")
-        pairs = written(pairs, "pairs")
+        if judged is not None:
+            pairs = pairs.join(judged, ["u", "v"], "left_anti")
         both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
         common = both.select("u", "v", F.size("x").alias("a"), F.size("y").alias("b"), F.size(F.array_intersect("x", "y")).alias("c"))
-        new = written(common.filter(F.col("c") >= F.lit(least) * (F.col("a") + F.col("b") - F.col("c"))).select("u", "v"), "links")
-        met = pairs if met is None else met.unionByName(pairs)
-        links = new if links is None else links.unionByName(new)
-        linked = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).withColumnsRenamed({"u": "pivot", "v": "id"})
-        done = open_.join(pivots, "key").join(linked, ["id", "pivot"], "left_semi").select("key", "id").unionByName(pivots.select("key", F.col("pivot").alias("id")))
+        new = common.select("u", "v", (F.col("c") >= F.lit(least) * (F.col("a") + F.col("b") - F.col("c"))).alias("linked"))
+        # One table of all pairs judged so far, so that plans don't grow with the rounds.
+        judged = written(new if judged is None else judged.unionByName(new), "judged")
+        linked = judged.filter("linked")
+        either = linked.select(F.col("u").alias("pivot"), F.col("v").alias("id")).unionByName(linked.select(F.col("v").alias("pivot"), F.col("u").alias("id")))
+        done = open_.join(pivots, "key").join(either, ["id", "pivot"], "left_semi").select("key", "id").unionByName(pivots.select("key", F.col("pivot").alias("id")))
         open_ = written(open_.join(done, ["key", "id"], "left_anti"), "open")
 
 

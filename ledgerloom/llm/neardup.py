@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.joins import bitmap, in_bitmap, small
+from ledgerloom.plans.joins import BROADCAST_ROWS, bitmap, in_bitmap, small
 from ledgerloom.plans.scratch import written
 
 #: A SimHash has 128 bits, of which each table takes a block of 16 as its key. Who asks looks up, in each table, its own key and those that differ from it in one or two of its UNSURE least certain bits.
@@ -197,7 +197,12 @@ class LabelSpread:
         self.reached = pids.select("pid") if self.reached is None else self.reached.unionByName(pids.select("pid"))
 
     def _left(self) -> DataFrame:
-        return self.tables if self.reached is None else self.tables.join(small(self.reached.distinct()), "pid", "left_anti")
+        if self.reached is None:
+            return self.tables
+        # Written anew, so that plans don't grow with the steps.
+        self.reached = written(self.reached.distinct(), "reached")
+        few = self.reached.count() <= BROADCAST_ROWS
+        return self.tables.join(F.broadcast(self.reached) if few else self.reached, "pid", "left_anti")
 
     def go(self, front: DataFrame) -> DataFrame:
         """(pid, norm, label) of what is newly found from front, (norm, label), whose texts needn't be among the rows. A row takes the smallest label that reaches it first; a labelled row keeps its own and carries the search on."""
