@@ -6,11 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.exprs import hash_pair
-from ledgerloom.plans.joins import bitmap, in_bitmap
+from ledgerloom.plans.joins import bitmap, in_bitmap, small
 from ledgerloom.plans.scratch import written
 
 #: Words of a shingle, and the similarity of near-duplicates.
@@ -33,7 +33,8 @@ def components(edges: DataFrame) -> DataFrame:
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u")
         after = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        if after.exceptAll(e).isEmpty() and e.exceptAll(after).isEmpty():
+        signed = after.withColumn("n", F.lit(1)).unionByName(e.withColumn("n", F.lit(-1)))
+        if signed.groupBy("u", "v").agg(F.sum("n").alias("n")).filter("n <> 0").isEmpty():
             return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         e = after
 
@@ -91,23 +92,22 @@ def near_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least
     """(u, v): links between different texts whose sets of word shingles have a Jaccard similarity of at least `least`, verified exactly.
 
     keys: (id, key), a row for each MinHash key of a text. sets_of: gives (id, set), the shingles of the texts whose id is in the frame it is handed: those that share a key with another.
-    Texts that share a key meet through pivots: the smallest text under a key that isn't linked to a pivot of it yet becomes one and meets all others under the key, until every one is a pivot or linked
-    to one. So a group of texts alike is worked through by one text, not by all pairs, and a key under which texts differ by as many as differ; each pair is verified once, whatever number of keys it shares.
+    Texts that share a key meet through pivots: the smallest text under a key becomes one and meets all others under the key; of those that aren't linked to it the four smallest become pivots next, then sixteen, and so on, until
+    every one is a pivot or linked to one. So a group of texts alike is worked through by one text, not by all pairs, and a key under which texts differ by those that differ; each pair is verified once, whatever number of keys it shares.
     Two texts that a pivot is linked to both are of one component without being compared. A link between a text that was linked early and one that wasn't is missed under that key only if no pivot shows it; the texts have up to BANDS keys.
     """
     keys = written(keys, "keys")
     shared = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = written(keys.join(shared, "key", "left_semi"), "members")
     sets = written(sets_of(written(members.select("id").distinct(), "involved")), "sets")
-    open_, judged = members, None
-    while True:
-        pivots = written(open_.groupBy("key").agg(F.min("id").alias("pivot")), "pivots")
-        if pivots.isEmpty():
-            return judged.filter("linked").select("u", "v") if judged is not None else members.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
+    open_, judged, most = members, None, 1
+    while not open_.isEmpty():
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("id"))
+        pivots = written(open_.withColumn("rank", rank).filter(F.col("rank") <= most).select("key", F.col("id").alias("pivot")), "pivots")
         pairs = members.join(pivots, "key").filter("id <> pivot").select(F.least("id", "pivot").alias("u"), F.greatest("id", "pivot").alias("v")).distinct()
         if judged is not None:
             pairs = pairs.join(judged, ["u", "v"], "left_anti")
-        both = pairs.join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
+        both = small(pairs).join(sets.select(F.col("id").alias("u"), F.col("set").alias("x")), "u").join(sets.select(F.col("id").alias("v"), F.col("set").alias("y")), "v")
         common = both.select("u", "v", F.size("x").alias("a"), F.size("y").alias("b"), F.size(F.array_intersect("x", "y")).alias("c"))
         new = common.select("u", "v", (F.col("c") >= F.lit(least) * (F.col("a") + F.col("b") - F.col("c"))).alias("linked"))
         # One table of all pairs judged so far, so that plans don't grow with the rounds.
@@ -116,6 +116,8 @@ def near_links(keys: DataFrame, sets_of: Callable[[DataFrame], DataFrame], least
         either = linked.select(F.col("u").alias("pivot"), F.col("v").alias("id")).unionByName(linked.select(F.col("v").alias("pivot"), F.col("u").alias("id")))
         done = open_.join(pivots, "key").join(either, ["id", "pivot"], "left_semi").select("key", "id").unionByName(pivots.select("key", F.col("pivot").alias("id")))
         open_ = written(open_.join(done, ["key", "id"], "left_anti"), "open")
+        most *= 4
+    return judged.filter("linked").select("u", "v") if judged is not None else members.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
 
 
 def duplicate_classes(documents: DataFrame) -> DataFrame:
