@@ -62,6 +62,15 @@ class DryRun:
     missing: tuple[dt.date, ...]
 
 
+def day_rows(source: DataFrame, first: dt.date | None, last: dt.date | None, column: str = "dt") -> DataFrame:
+    """(column, rows) for every day of a closed range, days that the source lacks with 0. Rows are counted before they meet the days. No range: no rows."""
+    held = source.groupBy(column).agg(F.count("*").alias("rows"))
+    if first is None or last is None:
+        return held.limit(0)
+    spine = source.sparkSession.range((last - first).days + 1).select(F.date_add(F.lit(str(first)).cast("date"), F.col("id").cast("int")).alias(column))
+    return spine.join(held, column, "left").select(column, F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
 def dry_run(source: DataFrame, first: dt.date, last: dt.date, column: str = "dt") -> DryRun:
     """Rows and days of the source in the range, and the days of the range that it lacks."""
     per = {r[0]: r[1] for r in source.filter(F.col(column).between(F.lit(str(first)).cast("date"), F.lit(str(last)).cast("date"))).groupBy(column).count().collect()}

@@ -18,7 +18,7 @@ from ledgerloom.sources.versioned import VersionedTable
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 #: Constants of the queries below and of their SQL.
-CUT = "2024-03-01"
+CUT, LIFE_CUT = "2024-03-01", "2024-03-05"
 AS_OF = dt.datetime(2024, 3, 5, 6, 7, 8)
 SCOPE = ("2024-03-03", "2024-03-04")
 
@@ -234,12 +234,12 @@ def order_checks(s: SparkSession, d: str) -> DataFrame:
 
 
 def _held_lifecycle(s: SparkSession, d: str, go_on: bool) -> DataFrame:
-    """A stored lifecycle: made of the batches before CUT, and brought up to date by upserts of the orders that later batches touch, or not."""
+    """A stored lifecycle: made of the batches before LIFE_CUT, and brought up to date by upserts of the orders that later batches touch, or not."""
     e = _events(s, d)
     held = LifecycleTable(s, new_path(s, "lifecycle"))
-    held.rebuild(e.filter(F.col("dt") < F.lit(CUT).cast("date")))
+    held.rebuild(e.filter(F.col("dt") < F.lit(LIFE_CUT).cast("date")))
     if go_on:
-        held.advance(e, CUT, None)
+        held.advance(e, LIFE_CUT, None)
     return held.read()
 
 
@@ -268,9 +268,9 @@ def _raw_with_user(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def recon_closure_detail(s: SparkSession, d: str) -> DataFrame:
-    """Days on which the detail, stored before CUT, holds another number of rows than raw orders with a user came: repeated ones and days that weren't built come out."""
+    """Days on which the detail, stored before LIFE_CUT, holds another number of rows than raw orders with a user came: repeated ones and days that weren't built come out."""
     held = VersionedTable(s, new_path(s, "detail"), "dt")
-    held.append(_detail(s, d).filter(F.col("dt") < F.lit(CUT).cast("date")))
+    held.append(_detail(s, d).filter(F.col("dt") < F.lit(LIFE_CUT).cast("date")))
     return _days(recon.closure(_raw_with_user(s, d), held.read()))
 
 
@@ -282,7 +282,7 @@ def recon_closure_sku(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def recon_closure_lifecycle(s: SparkSession, d: str) -> DataFrame:
-    """Per event day, distinct orders with an event against those of them that a lifecycle stored before CUT holds."""
+    """Per event day, distinct orders with an event against those of them that a lifecycle stored before LIFE_CUT holds."""
     e = _events(s, d).filter("order_id IS NOT NULL").select("dt", "order_id").distinct()
     return _days(recon.closure(e, e.join(_held_lifecycle(s, d, False).select("order_id"), "order_id", "left_semi")))
 

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from ledgerloom.plans.chain import AS_OF as LIFE_AS_OF
-from ledgerloom.plans.chain import CUT, SCOPE
+from ledgerloom.plans.chain import LIFE_CUT as CUT
+from ledgerloom.plans.chain import SCOPE
 
 DETAIL = """
 detail AS (

@@ -35,17 +35,20 @@ def in_range(paths: Sequence[str], first: dt.date | None = None, last: dt.date |
 
 
 def load_snapshots(spark: SparkSession, paths: Sequence[str], columns: str = COLUMNS) -> DataFrame:
-    """The files' rows with snapshot_date. Every header is checked first; a value that doesn't fit its declared type fails the job."""
+    """The rows with snapshot_date, from the name of each file, or of the folder of files, of a day. Every header is checked first; a value that doesn't fit its declared type fails the job."""
     kinds = T.StructType.fromDDL(columns)
-    heads = {p: spark.read.text(p).limit(1).collect() for p in paths}
-    for p, h in heads.items():
+    # The first line of every file, in one job; a file's first line is the row that its reader numbers first.
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("at"), "value", F.monotonically_increasing_id().alias("n"))
+    heads = {r["f"]: r["value"] for r in lines.filter("at = 0").groupBy("f").agg(F.min_by("value", "n").alias("value")).collect()}
+    for p in paths:
         day_of(p)
-        got = next(csv.reader([h[0][0]])) if h else []
+    for p, h in heads.items():
+        got = next(csv.reader([h]))
         if missing := [c for c in kinds.names if c not in got]:
             raise Malformed(f"{p} lacks {missing}")
         if got != kinds.names:
             raise Malformed(f"{p} has {got}, expected {kinds.names}")
-    day = F.to_date(F.regexp_extract(F.col("_metadata.file_name"), NAME, 1), "yyyyMMdd")
+    day = F.to_date(F.regexp_extract(F.col("_metadata.file_path"), NAME, 1), "yyyyMMdd")
     rows = spark.read.schema(kinds).option("header", True).option("mode", "FAILFAST").option("enforceSchema", False).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(list(paths))
     return rows.select("*", day.alias("snapshot_date"))
 
