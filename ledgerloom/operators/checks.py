@@ -46,21 +46,24 @@ def ods_gate(orders: DataFrame, events: DataFrame, day: dt.date, floor: float =
     return both.select(F.inline(each))
 
 
-def dim_checks(history: DataFrame, detail: DataFrame, sku: DataFrame) -> DataFrame:
-    """(check_name, violations) of a type-2 dimension and the wide table made from it: products without exactly one current version; gaps, overlaps and versions after an open
-    end; current flags that don't agree with the open end; row counts and amounts of detail and wide table; attributes other than those valid, or attached where none is valid."""
+def history_checks(history: DataFrame) -> DataFrame:
+    """(check_name, violations) of a type-2 dimension by itself: products without exactly one current version; gaps, overlaps and versions after an open end; current flags that don't agree with the open end."""
     open_end = F.lit(OPEN_END).cast("date")
     per = history.groupBy("product_id").agg(F.sum("is_current").alias("current"))
     following = F.lead("valid_from").over(Window.partitionBy("product_id").orderBy("valid_from"))
     gaps = history.select("valid_to", following.alias("following")).filter(F.col("following").isNotNull() & ((F.col("valid_to") == open_end) | (F.date_add("valid_to", 1) != F.col("following"))))
     flags = history.filter(differs(F.col("is_current") == 1, F.col("valid_to") == open_end))
+    return united([_named(per, "one current version", F.count_if(differs(F.col("current"), F.lit(1)))), _named(gaps, "continuous versions", F.count("*")), _named(flags, "current means open", F.count("*"))])
+
+
+def dim_checks(history: DataFrame, detail: DataFrame, sku: DataFrame) -> DataFrame:
+    """(check_name, violations) of a type-2 dimension (history_checks) and the wide table made from it: row counts and amounts of detail and wide table; attributes other than those valid, or attached where none is valid."""
     sides = detail.select(F.lit(1).alias("side"), "amount").unionByName(sku.select(F.lit(-1).alias("side"), "amount"))
     counts = sides.agg(F.sum("side").alias("rows"), F.coalesce(F.sum(F.col("side") * F.col("amount")), F.lit(0)).alias("amount"))
     with_right = version_at(sku.select("product_id", "dt", F.col("category").alias("has_category"), F.col("brand").alias("has_brand"), F.col("sku_price").alias("has_price")), history)
     wrong = with_right.filter(differs(F.col("has_category"), F.col("category")) | differs(F.col("has_brand"), F.col("brand")) | differs(F.col("has_price"), F.col("sku_price")))
     return united([
-        _named(per, "one current version", F.count_if(differs(F.col("current"), F.lit(1)))), _named(gaps, "continuous versions", F.count("*")), _named(flags, "current means open", F.count("*")),
-        _named(counts, "wide table rows", F.sum(F.abs("rows"))), _named(counts, "wide table amount", F.count_if(F.abs("amount") > 0.01)),
+        history_checks(history), _named(counts, "wide table rows", F.sum(F.abs("rows"))), _named(counts, "wide table amount", F.count_if(F.abs("amount") > 0.01)),
         _named(wrong, "wide table attributes", F.count("*")), _named(orphans(sku, history), "no valid version", F.count("*")),
     ])
 

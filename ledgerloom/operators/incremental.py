@@ -15,6 +15,10 @@ class Refused(ValueError):
     """A range that must not be run."""
 
 
+class Failed(RuntimeError):
+    """What was written isn't what it should be."""
+
+
 def bounds(df: DataFrame, column: str = "dt") -> tuple[dt.date | None, dt.date | None]:
     """First and last day of a table; of a Parquet table with that column little more than statistics are read."""
     return tuple(df.agg(F.min(column), F.max(column)).first())
@@ -79,9 +83,9 @@ def dry_run(source: DataFrame, first: dt.date, last: dt.date, column: str = "dt"
 
 
 def coverage_gate(target: tuple[dt.date | None, dt.date | None], first: dt.date, last: dt.date) -> None:
-    """After a run the target must reach from the range's first to its last day."""
-    if target[1] != last or target[0] is None or target[0] > first:
-        raise Refused(f"the target covers {target[0]} to {target[1]}, not {first} to {last}")
+    """After a run the target must reach from the range's first to its last day, at least."""
+    if target[1] is None or target[1] < last or target[0] is None or target[0] > first:
+        raise Failed(f"the target covers {target[0]} to {target[1]}, not {first} to {last}")
 
 
 def drift_outside(target: DataFrame, recomputed: DataFrame, first: dt.date, column: str = "dt") -> DataFrame:
@@ -97,4 +101,4 @@ def verify_written(written: DataFrame, expected: DataFrame, key: str, amount: st
     stats = lambda df: df.agg(F.count("*"), F.coalesce(F.sum(amount), F.lit(0)), F.count_distinct(key)).first()
     a, b = stats(written), stats(expected)
     if tuple(a) != tuple(b):
-        raise Refused(f"written {tuple(a)}, computed {tuple(b)}")
+        raise Failed(f"written {tuple(a)}, computed {tuple(b)}")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import datetime as dt
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
@@ -62,22 +63,45 @@ class Check:
     ok: bool
 
 
-def reconcile(orders: DataFrame, detail: DataFrame, dws: DataFrame, ads: DataFrame, dws_copy: DataFrame | None = None, ads_copy: DataFrame | None = None, strict: bool = False, allow_lag: int = 0) -> list[Check]:
-    """All checks over the chain; strict also fails on date holes. Only counts come to the driver."""
+def reconcile(
+    orders: DataFrame, detail: DataFrame, dws: DataFrame, ads: DataFrame, dws_copy: DataFrame | None = None, ads_copy: DataFrame | None = None, strict: bool = False, allow_lag: int = 0,
+    fast: bool = False, sku: DataFrame | None = None, lifecycle: DataFrame | None = None, events: DataFrame | None = None, baseline: Mapping[str, int] | None = None,
+) -> list[Check]:
+    """All checks over the chain, each with what differs as a count; only counts and single days come to the driver.
+
+    Closure of detail, and, if given, of the wide table and the lifecycle, with the raw tables by day (not with `fast`); whole-row differences to the copies; rows of the marts against those that detail asks for;
+    freshness within `allow_lag` days; both marts end on one day; date holes, which only fail with `strict`; rows of tables against `baseline`, table name to rows.
+    """
     zero = lambda name, df: Check(name, "0", str(n := df.count()), n == 0)
-    distinct_orders = orders.filter("user_id IS NOT NULL").select("dt", "order_id").distinct()
-    checks = [zero("detail closes with raw orders", closure(distinct_orders, detail))]
+    equal = lambda name, a, b: Check(name, str(a), str(b), a == b)
+    checks = []
+    if not fast:
+        distinct_orders = orders.filter("user_id IS NOT NULL").select("dt", "order_id").distinct()
+        checks.append(zero("detail closes with raw orders", closure(distinct_orders, detail)))
+        if sku is not None:
+            checks.append(zero("wide table closes with raw orders", closure(distinct_orders, sku)))
+        if lifecycle is not None and events is not None:
+            touched = events.filter("order_id IS NOT NULL").select("dt", "order_id").distinct()
+            checks.append(zero("lifecycle closes with events", closure(touched, touched.join(lifecycle.select("order_id"), "order_id", "left_semi"))))
     if dws_copy is not None:
         checks.append(zero("user days equal the copy", symmetric_difference(dws, dws_copy)))
     if ads_copy is not None:
         checks.append(zero("sales days equal the copy", symmetric_difference(ads, ads_copy)))
+    checks.append(equal("rows of user days", detail.select("user_id", "dt").distinct().count(), dws.count()))
+    checks.append(equal("rows of sales days", detail.select("dt").distinct().count(), ads.count()))
     last = {r["table_name"]: r["last_dt"] for r in watermarks({"detail": (detail, "dt"), "dws": (dws, "dt"), "ads": (ads, "dt")}).collect()}
-    import datetime as dt
-
     d = {k: dt.date.fromisoformat(v) if v else dt.date.min for k, v in last.items()}
     lag = (d["detail"] - d["dws"]).days
     checks.append(Check("user days are fresh", f"lag <= {allow_lag}", str(lag), lag <= allow_lag))
     checks.append(Check("both marts end on one day", str(last["dws"]), str(last["ads"]), last["dws"] == last["ads"]))
     holes = zero("no date holes", date_holes(ads))
     checks.append(holes if strict else Check(holes.name, holes.expected, holes.actual, True))
+    held = {"orders": orders, "detail": detail, "dws": dws, "ads": ads}
+    checks += [equal(f"baseline of {n}", rows, held[n].count()) for n, rows in (baseline or {}).items()]
     return checks
+
+
+def summary(checks: Sequence[Check]) -> str:
+    """One line for machines: RECON_RESULT|OK or BAD|checks|failed|names of the failed."""
+    bad = [c.name for c in checks if not c.ok]
+    return f"RECON_RESULT|{'BAD' if bad else 'OK'}|{len(checks)}|{len(bad)}|{','.join(bad)}"

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import cli
+from ledgerloom.operators import facts, incremental
 from ledgerloom.plans import pipeline
 from ledgerloom.plans.warehouse import Warehouse
 from ledgerloom.sources import csv_snapshot, generators, json_topic, sinks, versioned
@@ -273,3 +274,43 @@ def test_next_events_go_on_from_what_was_told(spark, frame):
     assert generators.dirty(told, huge=1).filter("amount < 9999999").count() == 0
     sent = [(r.event_time, r.order_id) for r in generators.in_order(told.repartition(5)).collect()]
     assert sent == sorted(sent)
+
+
+def test_builds_check_what_they_wrote(spark, tmp_path, capsys, monkeypatch):
+    w = Warehouse(spark, f"file://{tmp_path}/lake")
+    o = generators.orders(spark, D, 5, 40)
+    w.tables["ods_product"].append(generators.products(spark, D, 5))
+    w.tables["ods_order"].append(o)
+    w.tables["ods_order_event"].append(generators.order_events(o))
+    assert w.build_dims()["starts"] > 50 and w.build_dims() == {"leaves": 0, "starts": 0}
+    # A day of snapshots that is written again, however old, is taken in.
+    other = generators.products(spark, D, 5).filter("snapshot_date = '2024-01-02'").withColumn("category", F.when(F.col("product_id") == 3, "another").otherwise(F.col("category")))
+    w.tables["ods_product"].overwrite_partitions(other, ["2024-01-02"])
+    assert w.build_dims()["leaves"] == 1 and w.read("dim_product_scd2").filter("category = 'another'").count() == 1
+    lake = ["--lake", f"file://{tmp_path}/lake"]
+    assert cli.main([*lake, "build", "--table", "dwd_order_detail"]) == 0 and w.tables["dwd_order_sku_detail"].manifest() is None
+    assert cli.main([*lake, "build", "--table", "facts", "--mode", "rebuild", "--strict-closure"]) == 0 and cli.main([*lake, "marts"]) == 0
+    assert cli.main([*lake, "checks"]) == 0 and cli.main([*lake, "recon", "--baseline", '{"detail": 1}']) == 2 and "RECON_RESULT|BAD" in capsys.readouterr().out
+    assert cli.main([*lake, "marts", "--dry-run"]) == 0 and "rows=" in capsys.readouterr().out
+    # Appending days that are held doubles them, which the check after writing sees.
+    assert cli.main([*lake, "build", "--table", "dwd_order_detail", "--mode", "append", "--start", "2024-01-02", "--end", "2024-01-02"]) == 2
+    assert cli.main([*lake, "recon", "--range", "2024-01-03", "2024-01-05"]) == 0
+    assert cli.main([*lake, "recon", "--range", "2024-01-01", "2024-01-02", "--fast"]) == 2 and cli.main([*lake, "checks"]) == 2
+    assert "dws is detail aggregated" in capsys.readouterr().out
+    assert cli.main([*lake, "build", "--table", "facts", "--mode", "rebuild"]) == 0
+    # Raw orders that come later than the detail: closure sees the day, strictly or as a warning.
+    monkeypatch.setattr(facts, "order_detail", lambda rows: real(rows).filter("order_id % 7 <> 0"))
+    assert cli.main([*lake, "build", "--table", "dwd_order_detail", "--start", "2024-01-01", "--end", "2024-01-05"]) == 0 and "doesn't close" in capsys.readouterr().err
+    assert cli.main([*lake, "build", "--table", "dwd_order_detail", "--start", "2024-01-01", "--end", "2024-01-05", "--strict-closure"]) == 2
+    monkeypatch.undo()
+    w.build_facts(first=D, last=day(4))
+    # A mart day broken after it was written: the self check fails.
+    w.tables["dws_user_order_day"].update_where(F.col("dt") == "2024-01-03", {"paid_cnt": F.col("paid_cnt") + 1})
+    with pytest.raises(incremental.Failed):
+        w.check_marts(D, day(4))
+    w.build_marts(first=day(3), last=day(4))
+    assert "before 2024-01-04" in w.warnings[0]
+    assert cli.main([*lake, "gate", "--day", "2024-01-05"]) == 2 and "DQC_RESULT|BAD|2024-01-05|6|" in capsys.readouterr().out
+
+
+real = facts.order_detail
