@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.asof import attributes_at
 from ledgerloom.operators.dims import latest_per
 
 EVENTS = ("order", "pay", "ship", "finish", "cancel")
@@ -37,14 +38,18 @@ def first_events(events: DataFrame) -> DataFrame:
 
 
 def version_at(facts: DataFrame, history: DataFrame, key: str = "product_id", day: str = "dt", how: str = "left") -> DataFrame:
-    """Plain interval join to the version valid on `day`: equality on the key with the range as a condition of the same join. For large or skewed histories there is operators.asof."""
-    v = history.select(F.col(key).alias("__k"), "valid_from", "valid_to", "category", "brand", F.col("price").alias("sku_price"))
-    return facts.join(v, (facts[key] == v["__k"]) & facts[day].between(v["valid_from"], v["valid_to"]), how).drop("__k")
+    """Facts with the attributes and validity of the version valid on `day`; how: left keeps facts without one, inner doesn't. Over dyadic nodes (attributes_at), so no fact meets all versions of its key."""
+    names = {"valid_from": "valid_from", "valid_to": "valid_to", "category": "category", "brand": "brand", "price": "sku_price"}
+    v = history.select(key, *[F.col(c).alias(f"__v_{n}") for c, n in names.items()])
+    joined = attributes_at(facts, v, key, day, [f"__v_{n}" for n in names.values()], "__v_valid_from", "__v_valid_to")
+    found = joined if how == "left" else joined.filter("asof_found")
+    return found.drop("asof_found").withColumnsRenamed({f"__v_{n}": n for n in names.values()})
 
 
 def orphans(facts: DataFrame, history: DataFrame, key: str = "product_id", day: str = "dt") -> DataFrame:
     """Facts without a valid version."""
-    return facts.join(history, (facts[key] == history[key]) & facts[day].between(history["valid_from"], history["valid_to"]), "left_anti")
+    v = history.select(key, F.col("valid_from").alias("__from"), F.col("valid_to").alias("__to"))
+    return attributes_at(facts, v, key, day, [], "__from", "__to").filter("NOT asof_found").drop("asof_found")
 
 
 def scope_orders(events: DataFrame, first: Day, last: Day) -> DataFrame:

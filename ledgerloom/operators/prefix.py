@@ -14,9 +14,13 @@ from pyspark.sql import types as T
 from ledgerloom.plans.scratch import checkpointed
 
 
-def range_sorted(df: DataFrame, order: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """The rows range-partitioned and sorted by `order`, checkpointed: partition and place of each row are final."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+#: Rows of a range partition, about.
+PARTITION_ROWS = 2_000_000
+
+
+def range_sorted(df: DataFrame, order: Sequence[str], partitions: int | None = None, rows: int | None = None) -> DataFrame:
+    """The rows range-partitioned and sorted by `order`, checkpointed: partition and place of each row are final. rows: how many there are, or an upper bound: there are partitions enough for that many, and no fewer than the session has."""
+    n = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(rows or 0) // PARTITION_ROWS))
     return checkpointed(df.repartitionByRange(n, *order).sortWithinPartitions(*order))
 
 

@@ -57,7 +57,8 @@ def profile_loads(df: DataFrame, load: str, columns: Sequence[str], patterns: Ma
     both = flat.join(loads, flat["load"].eqNullSafe(loads["load"])).withColumn("side", F.explode(sides)).select("c", (F.col("i") + F.col("side.ahead")).alias("pair"), NUM, TXT, "side.now", "side.past")
     counts = both.groupBy("c", "pair", NUM, TXT).agg(F.sum("now").alias("now"), F.sum("past").alias("past"))
     counts = counts.withColumns({"vnow": F.when(value, F.col("now")).otherwise(0), "vpast": F.when(value, F.col("past")).otherwise(0)})
-    ranged = range_sorted(counts, ["c", "pair", NUM, TXT])
+    # No more distinct values than twice the cells.
+    ranged = range_sorted(counts, ["c", "pair", NUM, TXT], rows=2 * len(columns) * df.count())
     curves = running_sums(ranged, ["c", "pair"], ["vnow", "vpast"]).withColumnsRenamed({"vnow_run": "rn", "vpast_run": "rp"})
     totals = ranged.groupBy("c", "pair").agg(F.sum("vnow").alias("all_now"), F.sum("vpast").alias("all_past"), F.sum("now").alias("rows"))
     per_value = curves.join(small(totals), ["c", "pair"])

@@ -54,7 +54,8 @@ def bitmap(hashes: DataFrame, column: str, n: int) -> tuple[DataFrame, int]:
 
 
 def in_bitmap(rows: DataFrame, column: str, marked: DataFrame, bits: int) -> DataFrame:
-    """The rows whose hash may be marked; none that is marked is lost."""
-    bit = F.col(column).bitwiseAND(F.lit((1 << bits) - 1))
-    hit = F.expr(f"shiftrightunsigned(words[CAST((({column} & {(1 << bits) - 1}) >> 6) & 63 AS INT)], CAST({column} & 63 AS INT)) & 1 = 1")
-    return rows.withColumn("block", F.shiftright(bit, 12)).join(F.broadcast(marked), "block").filter(hit).drop("block", "words")
+    """The rows whose hash, in bigint column `column`, may be marked; none that is marked is lost."""
+    low = f"(`{column}` & {(1 << bits) - 1}L)"
+    hit = F.expr(f"shiftrightunsigned(__words[CAST(({low} >> 6) & 63 AS INT)], CAST({low} & 63 AS INT)) & 1 = 1")
+    blocks = marked.select(F.col("block").alias("__block"), F.col("words").alias("__words"))
+    return rows.withColumn("__block", F.expr(f"{low} >> 12")).join(F.broadcast(blocks), "__block").filter(hit).drop("__block", "__words")

@@ -247,4 +247,4 @@ def event_sequence(s: SparkSession, d: str) -> DataFrame:
     """Every message with its place in the order of event time, order and the other columns; places are counted over range partitions, not in one task."""
     cols = ["event_time", "order_id", "event_type", "user_id", "product_id", "amount", "order_time"]
     rows = table(s, d, "ods_order_event").select(*cols, F.lit(0).alias("all"), F.lit(1).cast("bigint").alias("one"))
-    return running_sums(range_sorted(rows, ["all", *cols]), ["all"], ["one"]).select(*cols, F.col("one_run").alias("position"))
+    return running_sums(range_sorted(rows, ["all", *cols], rows=rows.count()), ["all"], ["one"]).select(*cols, F.col("one_run").alias("position"))

@@ -60,3 +60,14 @@ def test_hot_key_moves_little(spark, frame, values):
     a = spark.range(30_000).selectExpr("if(id % 3 = 0, 7, id) AS k", "'v' AS v")
     b = a.unionByName(frame("k bigint, v string", [(7, "v")]))
     assert values(diff_copies(a, b, ["k"], ["v"])) == [(7, "row_count")]
+
+
+def test_keys_of_two_types(frame, values):
+    a, b = frame("k decimal(10,1), v int", [(1.5, 1), (2, 2), (3, 3)]), frame("k decimal(12,2), v int", [(1.5, 1), (2, 9), (4, 4)])
+    assert [(float(k), d) for k, d in values(diff_copies(a, b, ["k"], ["v"]))] == [(2.0, "v"), (3.0, "only_in_left"), (4.0, "only_in_right")]
+
+
+def test_most_rows_of_one_key(frame, values):
+    many = [(1, i % 5) for i in range(3_000)]
+    assert values(diff_copies(frame("k int, v int", many), frame("k int, v int", many[::-1]), ["k"], ["v"])) == []
+    assert values(diff_copies(frame("k int, v int", many), frame("k int, v int", [*many[1:], (1, 7)]), ["k"], ["v"])) == [(1, "v")]
