@@ -58,6 +58,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     from ledgerloom.operators.incremental import Failed, Refused, dry_run, explicit_range
     from ledgerloom.operators.recon import summary
     from ledgerloom.plans.pipeline import backfill
+    from ledgerloom.plans.scratch import clean
     from ledgerloom.plans.session import session
     from ledgerloom.plans.warehouse import FACTS, Warehouse
 
@@ -112,6 +113,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     finally:
         for x in w.warnings:
             print(f"WARN|{x}", file=sys.stderr)
+        clean(w.spark)
     return 0
 
 

@@ -116,12 +116,12 @@ def fingerprint(tables: dict[str, DataFrame], separator: str = "|", digest: str
     return united(parts)
 
 
-def stream_health(progress: Mapping[str, object] | None, messages: DataFrame, identifier: Sequence[str], most_copies: float = 1.20) -> dict[str, object]:
-    """What a stream's last progress and its target table say: rows taken in the last batch, watermark, surplus rows per message, and whether all is well. No progress yet isn't well."""
+def stream_health(progress: Mapping[str, object] | None, messages: DataFrame, identifier: Sequence[str], most_copies: float = 1.20, lag: int = 0, most_lag: int | None = None) -> dict[str, object]:
+    """What a stream's last progress and its target table say: rows taken in the last batch, watermark, surplus rows per message, the messages that wait (`lag`, from json_topic.lag), and whether all is well. No progress yet isn't well."""
     n = messages.agg(F.count("*").alias("n"), F.count_distinct(F.struct(*identifier)).alias("k")).first()
     ratio = n["n"] / n["k"] if n["k"] else 99.0
     taken = int(progress["numInputRows"]) if progress else -1
-    return {"taken": taken, "watermark": (progress or {}).get("eventTime", {}).get("watermark"), "copies": ratio, "ok": progress is not None and ratio <= most_copies}
+    return {"taken": taken, "watermark": (progress or {}).get("eventTime", {}).get("watermark"), "copies": ratio, "lag": lag, "ok": progress is not None and ratio <= most_copies and (most_lag is None or lag <= most_lag)}
 
 
 def realtime_checks(live: DataFrame, batch: DataFrame, day: dt.date, allow_lag: int = 0, low: float = 0.7, high: float = 1.5) -> DataFrame:

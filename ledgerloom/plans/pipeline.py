@@ -5,14 +5,20 @@ from __future__ import annotations
 import contextlib
 import csv
 import datetime as dt
+import getpass
 import os
+import platform
+import shutil
+import socket
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 #: Columns of the ledger.
-LEDGER = ("run_id", "day", "step", "state", "started", "seconds", "result", "error")
+LEDGER = ("run_id", "workflow", "trigger", "day", "step", "number", "of", "after", "state", "queued", "started", "ended", "waited", "seconds", "attempt", "result", "warnings", "error_type", "error", "host", "pid", "user", "python", "spark", "run_state", "run_seconds")
 
 
 class Busy(RuntimeError):
@@ -40,8 +46,8 @@ class Outcome:
 
 @contextlib.contextmanager
 def serial(folder: str, stale_s: float = 1800, wait_s: float = 0, poll_s: float = 0.2) -> Iterator[None]:
-    """Hold a lock that is a folder, made in one step. One older than `stale_s` is taken over; after waiting `wait_s` for another, Busy."""
-    until = time.monotonic() + wait_s
+    """Hold a lock that is a folder, made in one step. Its holder keeps it fresh as long as it runs; one that wasn't freshened for `stale_s` is taken over; after waiting `wait_s` for another, Busy. A holder that was taken over leaves the new one's lock alone."""
+    token, until = uuid.uuid4().hex, time.monotonic() + wait_s
     while True:
         try:
             os.mkdir(folder)
@@ -49,16 +55,31 @@ def serial(folder: str, stale_s: float = 1800, wait_s: float = 0, poll_s: float
         except FileExistsError:
             with contextlib.suppress(FileNotFoundError):
                 if time.time() - os.stat(folder).st_mtime > stale_s:
-                    os.rmdir(folder)
+                    aside = f"{folder}.{token}"
+                    os.rename(folder, aside)  # only one of several can
+                    shutil.rmtree(aside, ignore_errors=True)
                     continue
             if time.monotonic() >= until:
                 raise Busy(folder) from None
             time.sleep(poll_s)
+    mine, done = os.path.join(folder, token), threading.Event()
+    open(mine, "w").close()
+
+    def freshen() -> None:
+        while not done.wait(stale_s / 4):
+            with contextlib.suppress(OSError):
+                if os.path.exists(mine):
+                    os.utime(folder)
+
+    beat = threading.Thread(target=freshen, daemon=True)
+    beat.start()
     try:
         yield
     finally:
-        with contextlib.suppress(FileNotFoundError):
-            os.rmdir(folder)
+        done.set()
+        beat.join()
+        if os.path.exists(mine):
+            shutil.rmtree(folder, ignore_errors=True)
 
 
 def order(steps: Sequence[Step]) -> list[Step]:
@@ -93,17 +114,26 @@ def record(path: str, rows: Sequence[Mapping[str, object]]) -> None:
         w.writerows(rows)
 
 
-def run(day: dt.date, steps: Sequence[Step], ledger: str | None = None, lock: str | None = None, alert: Callable[[str, str], None] | None = None, parallel: int = 3) -> Outcome:
-    """Run the steps for a day. Those whose predecessors are done run side by side; after a failure nothing new begins, what is left is `skipped`, and `alert(step, error)` is called."""
+def run(day: dt.date, steps: Sequence[Step], ledger: str | None = None, lock: str | None = None, alert: Callable[[str, str], None] | None = None, parallel: int = 3, workflow: str = "", trigger: str = "manual", attempts: int = 1) -> Outcome:
+    """Run the steps for a day. Those whose predecessors are done run side by side, each up to `attempts` times; after a failure nothing new begins, what is left is `skipped`, and `alert(step, error)` is called."""
     steps = order(steps)
-    out, lines, run_id = Outcome(), [], f"{day}-{int(time.time() * 1000)}"
-
-    def timed(s: Step) -> tuple[str, float, str, str]:
-        began = time.time()
-        try:
-            return "done", began, str(s.run(day)), ""
-        except Exception as e:  # noqa: BLE001 - any failure ends the run and goes to the ledger
-            return "failed", began, "", f"{type(e).__name__}: {e}"[:500]
+    began_run, stamp = time.time(), lambda t: dt.datetime.fromtimestamp(t, dt.UTC).isoformat()
+    out, run_id = Outcome(), f"{day}-{int(began_run * 1000)}"
+    base = {"run_id": run_id, "workflow": workflow, "trigger": trigger, "day": day, "of": len(steps), "host": socket.gethostname(), "pid": os.getpid(), "user": getpass.getuser(), "python": platform.python_version(), "spark": _spark_version()}
+    lines = {s.name: base | {"step": s.name, "number": i + 1, "after": " ".join(s.after), "state": "skipped"} for i, s in enumerate(steps)}
+
+    def timed(s: Step) -> None:
+        line, began = lines[s.name], time.time()
+        line |= {"started": stamp(began), "waited": round(began - line.pop("queued_at"), 3)}
+        for attempt in range(1, attempts + 1):
+            line["attempt"] = attempt
+            try:
+                result = s.run(day)
+                line |= {"state": "done", "result": str(result), "error": "", "error_type": "", "warnings": len(getattr(result, "warnings", ()))}
+                break
+            except Exception as e:  # noqa: BLE001 - any failure ends the run and goes to the ledger
+                line |= {"state": "failed", "error_type": type(e).__name__, "error": f"{type(e).__name__}: {e}"[:500]}
+        line |= {"ended": stamp(time.time()), "seconds": round(time.time() - began, 3)}
 
     with serial(lock) if lock else contextlib.nullcontext(), ThreadPoolExecutor(parallel) as pool:
         waiting, going = list(steps), {}
@@ -111,6 +141,7 @@ def run(day: dt.date, steps: Sequence[Step], ledger: str | None = None, lock: st
             failed = "failed" in out.states.values()
             for s in [s for s in waiting if not failed and all(out.states.get(a) == "done" for a in s.after)]:
                 waiting.remove(s)
+                lines[s.name] |= {"queued": stamp(time.time()), "queued_at": time.time()}
                 going[pool.submit(timed, s)] = s
             if not going:
                 break
@@ -118,21 +149,52 @@ def run(day: dt.date, steps: Sequence[Step], ledger: str | None = None, lock: st
             done, _ = wait(going, return_when=FIRST_COMPLETED)
             for f in done:
                 s = going.pop(f)
-                state, began, result, error = f.result()
-                out.states[s.name] = state
-                lines.append({"run_id": run_id, "day": day, "step": s.name, "state": state, "started": dt.datetime.fromtimestamp(began, dt.UTC).isoformat(), "seconds": round(time.time() - began, 3), "result": result, "error": error})
-                if error:
-                    out.errors[s.name] = error
+                f.result()
+                out.states[s.name] = lines[s.name]["state"]
+                if error := lines[s.name].get("error"):
+                    out.errors[s.name] = str(error)
                     if alert:
-                        alert(s.name, error)
+                        alert(s.name, str(error))
         for s in waiting:
             out.states[s.name] = "skipped"
-            lines.append({"run_id": run_id, "day": day, "step": s.name, "state": "skipped"})
     if ledger:
-        record(ledger, lines)
+        whole = {"run_state": "done" if out.ok else "failed", "run_seconds": round(time.time() - began_run, 3)}
+        record(ledger, [x | whole for x in lines.values()])
     return out
 
 
+def _spark_version() -> str:
+    import pyspark
+
+    return pyspark.__version__
+
+
+def done_in(ledger: str, step: str, day: dt.date, workflow: str | None = None) -> bool:
+    """Whether a ledger says that the step was done for the day, at its last attempt."""
+    if not os.path.exists(ledger):
+        return False
+    state = ""
+    with open(ledger, newline="") as f:
+        for r in csv.DictReader(f):
+            if r["step"] == step and r["day"] == str(day) and workflow in (None, r["workflow"]):
+                state = r["state"]
+    return state == "done"
+
+
+def wait_for(name: str, ledger: str, step: str, workflow: str | None = None, wait_s: float = 3600, poll_s: float = 5, after: Sequence[str] = ()) -> Step:
+    """A step that waits until another workflow's ledger says that its step is done for the day; Busy after `wait_s`."""
+
+    def waited(day: dt.date) -> str:
+        until = time.monotonic() + wait_s
+        while not done_in(ledger, step, day, workflow):
+            if time.monotonic() >= until:
+                raise Busy(f"{step} isn't done for {day} in {ledger}")
+            time.sleep(poll_s)
+        return "done"
+
+    return Step(name, waited, after)
+
+
 def backfill(first: dt.date, last: dt.date, steps: Sequence[Step], **options: object) -> dict[dt.date, Outcome]:
     """Run the steps for each day of a closed range, in order; it ends with the first day that fails."""
     out: dict[dt.date, Outcome] = {}

@@ -78,6 +78,34 @@ def ingest_stream(spark: SparkSession, path: str, schema: str, day_from: str, ta
     return query
 
 
+def taken(spark: SparkSession, checkpoint: str) -> set[str]:
+    """The files that a stream with this checkpoint has taken, by its log: one name a file, as the log itself holds them."""
+    log = f"{checkpoint}/sources/0"
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(log)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return set()
+    rows = spark.read.text(log).filter("value LIKE '{%'").select(F.get_json_object("value", "$.path").alias("p")).filter("p IS NOT NULL").distinct().collect()
+    return {r["p"].rsplit("/", 1)[-1] for r in rows}
+
+
+def lag(spark: SparkSession, path: str, checkpoint: str) -> dict[str, int]:
+    """What of a folder of messages a stream hasn't taken yet: files and messages; and files that it took and that are gone since, which a reload couldn't get back."""
+    per = {r["f"].rsplit("/", 1)[-1]: r["n"] for r in spark.read.text(path).groupBy(F.col("_metadata.file_path").alias("f")).agg(F.count("*").alias("n")).collect()}
+    known = taken(spark, checkpoint)
+    open_ = {f: n for f, n in per.items() if f not in known}
+    return {"files": len(open_), "messages": sum(open_.values()), "gone": len(known - per.keys())}
+
+
+def guard_complete(spark: SparkSession, path: str, checkpoint: str, held: int) -> None:
+    """Refuse a table that doesn't hold just the messages of the files its stream took, and a source that lost files."""
+    found = lag(spark, path, checkpoint)
+    if found["gone"]:
+        raise Rejected(f"{found['gone']} files are gone from the source")
+    messages = spark.read.text(path).count() - found["messages"]
+    if held != messages:
+        raise Rejected(f"the table holds {held} rows, the stream took {messages} messages")
+
+
 def guard(messages: int, before: int, after: int, written: int) -> None:
     """Refuse an empty source and a table that didn't grow by just what was written."""
     if messages == 0:

@@ -137,6 +137,19 @@ class VersionedTable:
         m = self.manifest(version)
         return [{"partition": v, "file": f"{d['dir']}/{n}", "bytes": b} for v, dirs in (m["parts"] if m else {}).items() for d in dirs for n, b in self.store.files(d["dir"])]
 
+    def manifests(self) -> list[dict[str, Any]]:
+        """(version, bytes, partitions, folders) of every manifest. Each is complete, so none has to be merged or rewritten."""
+        out = []
+        for v in self.versions():
+            text = self.store.read(f"_meta/v{v:010d}.json")
+            parts = json.loads(text)["parts"]
+            out.append({"version": v, "bytes": len(text.encode()), "partitions": len(parts), "folders": sum(map(len, parts.values()))})
+        return out
+
+    def refresh(self) -> None:
+        """Let the session forget what it cached of the table's files and rows; for tables that another session writes."""
+        self.spark.catalog.refreshByPath(self.store.root)
+
     # Writing
 
     def _value(self) -> Column:
@@ -334,3 +347,27 @@ def restore(copy: str, root: str) -> None:
         os.rename(root, f"{root}.old")
     os.rename(spare, root)
     shutil.rmtree(f"{root}.old", ignore_errors=True)
+
+
+def shared_checksums(spark: SparkSession, root: str) -> DataFrame:
+    """(file, sha256) of every file of a table folder on any file system, by the executors."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([f"{root}/_meta", f"{root}/data"])
+    plain = root.split(":", 1)[-1].lstrip("/")
+    return files.select(F.element_at(F.split("path", plain + "/", 2), -1).alias("file"), F.sha2("content", 256).alias("sha256"))
+
+
+def shared_backup(spark: SparkSession, root: str, to: str) -> int:
+    """Copy a table folder on any file system, and write the checksums of the source beside the copy; the number of files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    a, b = jvm.org.apache.hadoop.fs.Path(root), jvm.org.apache.hadoop.fs.Path(to)
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, conf):
+        raise OSError(f"{root} wasn't copied")
+    shared_checksums(spark, root).write.mode("overwrite").parquet(f"{to}.sha256")
+    return spark.read.parquet(f"{to}.sha256").count()
+
+
+def shared_verify(spark: SparkSession, to: str) -> DataFrame:
+    """(file, why) of a copy: missing, surplus, differs."""
+    wanted = spark.read.parquet(f"{to}.sha256").select("file", F.col("sha256").alias("w"))
+    got = shared_checksums(spark, to).select("file", F.col("sha256").alias("g"))
+    return wanted.join(got, "file", "full").filter(~F.col("w").eqNullSafe(F.col("g"))).select("file", F.when(F.col("g").isNull(), "missing").when(F.col("w").isNull(), "surplus").otherwise("differs").alias("why"))

@@ -314,3 +314,59 @@ def test_builds_check_what_they_wrote(spark, tmp_path, capsys, monkeypatch):
 
 
 real = facts.order_detail
+
+
+def test_lock_is_kept_fresh_and_only_its_holder_frees_it(tmp_path):
+    import time
+
+    lock = f"{tmp_path}/lock"
+    with pipeline.serial(lock, stale_s=0.8):
+        time.sleep(1.2)
+        with pytest.raises(pipeline.Busy), pipeline.serial(lock, stale_s=0.8):
+            pass
+    assert not os.path.exists(lock)
+    with pipeline.serial(lock):
+        os.rename(lock, f"{lock}.gone")
+        os.mkdir(lock)
+    assert os.path.exists(lock)
+
+
+def test_ledger_and_waiting_for_another_workflow(tmp_path):
+    ledger, tries = f"{tmp_path}/l.csv", []
+    flaky = pipeline.Step("x", lambda d: tries.append(1) or (1 / 0 if len(tries) < 2 else 5))
+    assert pipeline.run(D, [flaky], ledger=ledger, workflow="lake", attempts=2).ok
+    import csv
+
+    with open(ledger, newline="") as f:
+        row = next(csv.DictReader(f))
+    assert tuple(row) == pipeline.LEDGER and len(row) == 26 and (row["attempt"], row["result"], row["state"], row["run_state"]) == ("2", "5", "done", "done")
+    assert pipeline.done_in(ledger, "x", D, "lake") and not pipeline.done_in(ledger, "x", day(1)) and not pipeline.done_in(f"{tmp_path}/none.csv", "x", D)
+    assert pipeline.run(D, [pipeline.wait_for("w", ledger, "x", wait_s=0)]).ok
+    assert pipeline.run(day(1), [pipeline.wait_for("w", ledger, "x", wait_s=0)]).errors["w"].startswith("Busy")
+
+
+def test_lag_and_completeness_of_an_ingest(spark, tmp_path, table):
+    src, cp = f"{tmp_path}/m", f"file://{tmp_path}/cp"
+    lines(src, "1.json", message(1), message(2))
+    assert json_topic.lag(spark, src, cp) == {"files": 1, "messages": 2, "gone": 0}
+    json_topic.ingest_stream(spark, src, json_topic.EVENT, "event_time", table, cp, "w")
+    lines(src, "2.json", message(3))
+    assert json_topic.lag(spark, src, cp) == {"files": 1, "messages": 1, "gone": 0}
+    json_topic.guard_complete(spark, src, cp, table.read().count())
+    with pytest.raises(json_topic.Rejected):
+        json_topic.guard_complete(spark, src, cp, 3)
+    os.remove(f"{src}/1.json")
+    with pytest.raises(json_topic.Rejected):
+        json_topic.guard_complete(spark, src, cp, 2)
+
+
+def test_backup_on_any_file_system(spark, frame, table, tmp_path):
+    table.append(frame(SCHEMA, [(1, "a", D), (2, "b", day(1))]))
+    root, to = table.store.root, f"file://{tmp_path}/copy"
+    assert versioned.shared_backup(spark, root, to) == 3 and versioned.shared_verify(spark, to).count() == 0
+    assert VersionedTable(spark, to, "dt").read().count() == 2
+    part = next(os.path.join(a, n) for a, _, ns in os.walk(f"{tmp_path}/copy") for n in ns if n.endswith(".parquet"))
+    os.remove(part)
+    assert [r.why for r in versioned.shared_verify(spark, to).collect()] == ["missing"]
+    assert [(m["version"], m["partitions"], m["folders"]) for m in table.manifests()] == [(1, 2, 2)]
+    table.refresh()
