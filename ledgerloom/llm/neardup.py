@@ -133,8 +133,12 @@ def asking(text: Column) -> Column:
 
 def trigrams(text: Column) -> Column:
     """The set of trigrams of the padded text, as an array."""
-    t = F.concat(F.lit(" "), text, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (GRAM - 1), F.lit(1))), lambda i: F.substring(t, i, F.lit(GRAM))))
+    chars = F.regexp_extract_all(F.concat(F.lit(" "), text, F.lit(" ")), F.lit("(?s)."), F.lit(0))
+    # Shifted copies side by side; a place in a text isn't found again for each trigram.
+    joined = chars
+    for i in range(1, GRAM):
+        joined = F.zip_with(joined, F.slice(chars, 1 + i, F.size(chars)), lambda x, y: F.concat(x, y))
+    return F.array_distinct(F.slice(joined, 1, F.greatest(F.size(chars) - (GRAM - 1), F.lit(0))))
 
 
 def alike(pairs: DataFrame, x: str, y: str, least: float, repeated: Column | None = None) -> DataFrame:
