@@ -38,7 +38,7 @@ def first_events(events: DataFrame) -> DataFrame:
 
 
 def version_at(facts: DataFrame, history: DataFrame, key: str = "product_id", day: str = "dt", how: str = "left") -> DataFrame:
-    """Facts with the attributes and validity of the version valid on `day`; how: left keeps facts without one, inner doesn't. Over dyadic nodes (attributes_at), so no fact meets all versions of its key."""
+    """Facts with the attributes and validity of the version valid on `day`; how: left keeps facts without one, inner doesn't. By attributes_at, so no fact meets all versions of its key."""
     names = {"valid_from": "valid_from", "valid_to": "valid_to", "category": "category", "brand": "brand", "price": "sku_price"}
     v = history.select(key, *[F.col(c).alias(f"__v_{n}") for c, n in names.items()])
     joined = attributes_at(facts, v, key, day, [f"__v_{n}" for n in names.values()], "__v_valid_from", "__v_valid_to")

@@ -210,3 +210,20 @@ def test_attributes_at_with_empty_sides(frame):
     assert attributes_at(frame(events), versions, "product_id", "dt", ["category"]).count() == 0
     row = attributes_at(frame(events, [(1, 2, D[0])]), versions, "product_id", "dt", ["category"]).first()
     assert row["category"] is None and row["asof_found"] is False
+
+
+def test_attributes_at_with_versions_that_overlap(frame):
+    """Long, short and nested validities, equal starts with other ends: each event has what brute force gives."""
+    r = random.Random(7)
+    far, versions = dt.date(9999, 12, 31), []
+    for i in range(120):
+        start = D[0] + dt.timedelta(days=r.randrange(-3, 30))
+        versions.append((r.randrange(4), start, r.choice([start + dt.timedelta(days=r.choice([0, 1, 2, 5, 12, 25])), far if r.random() < 0.1 else start]), f"c{i}", i, None if r.random() < 0.2 else at(D[r.randrange(3)])))
+    events = [(i, r.randrange(5), D[0] + dt.timedelta(days=r.randrange(-5, 40))) for i in range(300)]
+    got = attributes_at(frame("order_id bigint, product_id bigint, dt date", events), frame(VERSIONS, versions), "product_id", "dt", ["category"], precedence=["update_time"])
+
+    def right(e):
+        ok = [v for v in versions if v[0] == e[1] and v[1] <= e[2] <= v[2]]
+        return max(ok, key=lambda v: (v[1], v[5] or dt.datetime.min, v[3]))[3] if ok else None
+
+    assert sorted((x.order_id, x.category, x.asof_found) for x in got.collect()) == sorted((e[0], right(e), right(e) is not None) for e in events)
