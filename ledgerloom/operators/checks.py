@@ -107,12 +107,18 @@ def lifecycle_checks(snapshot: DataFrame, expected: DataFrame, events: DataFrame
 
 
 def fingerprint(tables: dict[str, DataFrame], separator: str = "|", digest: str = "crc32") -> DataFrame:
-    """(table_name, rows, checksum): independent of row order; nulls are marked, so that no two rows of different values read the same. digest: crc32, or md5, of which the first 48 bits count."""
+    """(table_name, rows, checksum): independent of row order; nulls are marked, so that no two rows of different values read the same. digest: crc32, or md5, of which the first 48 bits count.
+
+    The checksum is the rows' sum; of a sum that doesn't fit a bigint (of md5 beyond some 65,000 rows) the last 63 bits.
+    """
     each = {"crc32": F.crc32, "md5": lambda t: F.conv(F.substring(F.md5(t), 1, 12), 16, 10).cast("bigint")}[digest]
     parts = []
     for name, df in tables.items():
         text = F.concat_ws(separator, *[F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("~")) for c in df.columns])
-        parts.append(df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(each(text)), F.lit(0)).cast("bigint").alias("checksum")).select(F.lit(name).alias("table_name"), "rows", "checksum"))
+        # Upper bits and the last 24 are summed apart, neither of which overflows, and the carry goes up.
+        halves = df.select(each(text).alias("h")).agg(F.count("*").alias("rows"), *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("high", F.shiftright("h", 24)), ("low", F.col("h").bitwiseAND(F.lit((1 << 24) - 1))))])
+        high = (F.col("high") + F.shiftright("low", 24)).bitwiseAND(F.lit((1 << 39) - 1))
+        parts.append(halves.select(F.lit(name).alias("table_name"), "rows", F.shiftleft(high, 24).bitwiseOR(F.col("low").bitwiseAND(F.lit((1 << 24) - 1))).alias("checksum")))
     return united(parts)
 
 

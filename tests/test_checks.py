@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 
 import pytest
 
@@ -203,3 +204,11 @@ def test_stream_health_and_live_against_batch(frame):
     assert live(days(4, 3, 4, 4), days(4, 4, 4))["live equals batch"] == 1
     assert live(days(4, 4, 4), days(4, 4, 4))["live table is fresh"] == 1 and live(days(4, 4, 4), days(4, 4, 4), allow_lag=1)["live table is fresh"] == 0
     assert live(days(), days()) == {"live table is fresh": 1, "live volume": 1, "live equals batch": 0}
+
+
+def test_fingerprint_of_many_rows(spark):
+    """A sum of 48-bit digests that no bigint holds: its last 63 bits."""
+    n = 140_000
+    want = sum(int(hashlib.md5(f"={i}".encode()).hexdigest()[:12], 16) for i in range(n))
+    got = checks.fingerprint({"t": spark.range(n)}, digest="md5").first()
+    assert want >= 2**63 and (got["rows"], got["checksum"]) == (n, want % 2**63)
