@@ -7,7 +7,7 @@ from tests.test_checks import ORDERS, day
 
 PRODUCTS = "product_id bigint, product_name string, category string, brand string, price decimal(10,2), status string, update_time timestamp_ntz, snapshot_date date"
 #: What each as-of query gives of the tables below, as rows.
-ROWS = {"category_day_sales": 5, "order_sku_asof_inner": 7, "order_sku_orphans": 1, "top_category_days": 5, "order_sku_asof_left": 8}
+ROWS = {"category_day_sales": 5, "order_sku_asof_inner": 7, "order_sku_orphans": 1, "top_category_days": 5, "order_sku_asof_left": 8, "order_sku_unmatched": 1}
 
 
 @pytest.fixture
