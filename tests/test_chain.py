@@ -32,6 +32,7 @@ DAYS = [day(n).isoformat() for n in range(4)]
 #: Columns and rows, in order, that each as-of query gives of the tables above.
 FOUND = {
     "order_sku_asof_inner": (["order_id", "category"], [(1, "a"), (11, "a"), (12, "a"), (21, "b"), (22, "b"), (31, "b"), (32, "b")]),
+    "order_sku_orphans": (["order_id", "product_id"], [(2, 2)]),
 }
 
 
