@@ -35,6 +35,7 @@ FOUND = {
     "order_sku_orphans": (["order_id", "product_id"], [(2, 2)]),
     "top_category_days": (["dt", "category", "orders", "CAST(amount AS int)"], [(DAYS[1], "a", 2, 10), (DAYS[2], "b", 2, 10), (DAYS[3], "b", 2, 10), (DAYS[0], "a", 1, 5), (DAYS[0], None, 1, 5)]),
     "order_sku_asof_left": (["order_id", "category"], [(1, "a"), (2, None), (11, "a"), (12, "a"), (21, "b"), (22, "b"), (31, "b"), (32, "b")]),
+    "order_sku_unmatched": (["dt", "unmatched"], [(DAYS[0], 1)]),
 }
 
 
